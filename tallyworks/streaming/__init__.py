@@ -1,0 +1 @@
+"""Every input of this library is a batch table, so no streaming operator exists here."""
