@@ -239,7 +239,7 @@ def measures(spark: SparkSession, folder: str) -> DataFrame:
     """Events numbered per type and cut into full subgroups of four, with special causes laid over them."""
     events = star(spark, folder, "events").select("event_type", "ts", "event_id", "value")
     numbered = number_rows(events, ["event_type"], [F.col("ts"), F.col("event_id")], "rn")
-    totals = numbered.groupBy("event_type").agg(F.max("rn").alias("_total"))
+    totals = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("_total"))
     sub = (F.floor((F.col("rn") - 1) / 4) + 1).cast("bigint")
     rep = ((F.col("rn") - 1) % 4 + 1).cast("int")
     param = F.col("event_type")
