@@ -37,9 +37,8 @@ def elapsed_hours(start: Column, end: Column) -> Column:
     return elapsed_seconds(start, end) / 3600
 
 
-def to_minute(value: Column) -> Column:
-    """Nearest minute, ties to the even minute; text that is no timestamp gives null."""
-    instant = F.to_timestamp(value) if not isinstance(value, str) else F.col(value)
-    micros = F.unix_micros(instant.cast("timestamp"))
-    minutes = F.bround(micros.cast("decimal(38,0)") / F.lit(60000000), 0).cast("bigint")
+def to_minute(value: Column, text: bool = False) -> Column:
+    """Nearest minute, ties to the even minute; ``text`` parses strings and gives null for bad ones."""
+    instant = F.try_to_timestamp(value) if text else value.cast("timestamp")
+    minutes = F.bround(F.unix_micros(instant).cast("decimal(38,0)") / 60000000, 0).cast("bigint")
     return F.timestamp_micros(minutes * 60000000).cast("timestamp_ntz")

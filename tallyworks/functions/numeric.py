@@ -44,8 +44,9 @@ def rounded(value: Column, places: int) -> Column:
 
 
 def rounded_even(value: Column, places: int) -> Column:
-    """Half-even rounding of the decimal reading of a number."""
-    return F.bround(value.cast(WIDE), places).cast("double")
+    """Half-even rounding of the scaled double, as array libraries round."""
+    scale = float(10**places)
+    return F.rint(value.cast("double") * scale) / scale
 
 
 def guarded_ratio(top: Column, bottom: Column) -> Column:
