@@ -42,9 +42,13 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def deviations_from_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, document settings) of a nested deviation document; ISO text becomes a date, null stays null."""
-    document = spark.read.schema(schemas.DEVIATION_DOCUMENT).option("multiLine", True).json(path)
+def deviations_from_json(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(records, document settings) of nested deviation documents; ISO text becomes a date, null stays null.
+
+    ``multi_line`` reads one document per file; without it each line is a document,
+    which lets Spark split large files.
+    """
+    document = spark.read.schema(schemas.DEVIATION_DOCUMENT).option("multiLine", multi_line).json(path)
     record = document.select(F.explode("recs").alias("r")).select("r.*")
     return deviation_dates(record), document.select(F.to_date("asof").alias("asof"), "areas", "causes")
 
