@@ -23,9 +23,24 @@ def count_where(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
+def units(value: Column, scale: int) -> Column:
+    """The number as a whole count of 10^-scale units, halves away from zero."""
+    if not scale:
+        return value.cast("bigint")
+    scaled = value.cast("double") * float(10**scale)
+    return F.when(scaled < 0, -F.floor(0.5 - scaled)).otherwise(F.floor(scaled + 0.5))
+
+
 def exact_sum(value: Column, scale: int = 2) -> Column:
-    """Sum as decimal; the caller casts when a double is wanted."""
-    return F.sum(value.cast(f"decimal(18,{scale})"))
+    """Order-independent sum as a decimal with ``scale`` digits.
+
+    Units are split into a high and a low part and summed as longs, which stays in
+    code generation and hash aggregation; the two sums are put together once per group.
+    """
+    whole = units(value, scale)
+    high = F.sum(F.shiftright(whole, 20)).cast("decimal(38,0)") * F.lit(1 << 20)
+    total = high + F.sum(whole.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(38,0)")
+    return (total.cast("decimal(30,0)") * F.lit(10**-scale).cast(f"decimal(8,{scale})")).cast(f"decimal(38,{scale})")
 
 
 def exact_mean(value: Column, scale: int = 2) -> Column:

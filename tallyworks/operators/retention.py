@@ -76,25 +76,26 @@ def order_items_agg(
 ) -> DataFrame:
     """Totals per order with the category and seller of its highest-priced item.
 
-    Items are aggregated before the product lookup, so the lookup joins one row per order.
+    Totals stay in hash aggregation; the pick of the main item compares structs and is a
+    second, narrow aggregate on the same key. Items are aggregated before the product
+    lookup, so the lookup joins one row per order.
     """
-    price, freight = F.col("price").cast("decimal(18,2)"), F.col("freight_value").cast("decimal(18,2)")
-    main = F.struct(
-        F.col("price").isNull().alias("unpriced"), (-F.col("price")).alias("falling"),
-        *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)], F.col("product_id").alias("p"), F.col("seller_id").alias("s"),
-    )
+    price, freight = F.col("price"), F.col("freight_value")
+    value, shipping = exact_sum(price), exact_sum(freight)
     totals = items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("items"),
-        F.sum(price).cast("double").alias("item_value"),
-        F.sum(freight).cast("double").alias("freight_value"),
-        F.sum(price + freight).cast("double").alias("gmv"),
+        F.count(F.lit(1)).alias("items"), value.cast("double").alias("item_value"),
+        shipping.cast("double").alias("freight_value"), exact_sum(price + freight).cast("double").alias("gmv"),
         F.count_distinct("seller_id").alias("sellers"),
-        F.min(main).alias("main"),
     )
-    named = category_names(products, translation)
-    return totals.join(named, totals["main.p"] == named["product_id"], "left").select(
+    best = F.struct(
+        price.isNull().alias("unpriced"), (-price).alias("falling"),
+        *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)], F.col("product_id").alias("p"), F.col("seller_id").alias("s"),
+    )
+    mains = items.groupBy("order_id").agg(F.min(best).alias("m")).select(
+        "order_id", F.col("m.p").alias("product_id"), F.col("m.s").alias("main_seller_id"))
+    return totals.join(mains, "order_id").join(category_names(products, translation), "product_id", "left").select(
         "order_id", "items", "item_value", "freight_value", "gmv", "sellers",
-        F.coalesce("category", F.lit("unknown")).alias("main_category"), F.col("main.s").alias("main_seller_id"),
+        F.coalesce("category", F.lit("unknown")).alias("main_category"), "main_seller_id",
     )
 
 

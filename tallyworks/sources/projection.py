@@ -50,8 +50,8 @@ def retention_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         F.col("l_linenumber").alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
-        F.col("l_quantity").cast("decimal(18,2)").alias("freight_value"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_quantity").alias("freight_value"),
         F.col("l_shipdate").alias("shipping_limit_date"),
     )
     scored = orders.filter(F.col("o_orderkey") % 50 != 0).select(

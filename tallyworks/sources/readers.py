@@ -28,7 +28,8 @@ def star(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the star-schema test tables."""
     if name not in schemas.STAR_TABLES:
         raise ValueError(f"unknown table {name}")
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    reader = spark.read.schema(schemas.STAR[name]) if name in schemas.STAR else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
