@@ -40,7 +40,7 @@ def exact_sum(value: Column, scale: int = 2) -> Column:
     whole = units(value, scale)
     high = F.sum(F.shiftright(whole, 20)).cast("decimal(38,0)") * F.lit(1 << 20)
     total = high + F.sum(whole.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(38,0)")
-    return (total.cast("decimal(30,0)") * F.lit(10**-scale).cast(f"decimal(8,{scale})")).cast(f"decimal(38,{scale})")
+    return (total.cast("decimal(28,0)") * F.lit(10**-scale).cast(f"decimal(8,{scale})")).cast(f"decimal(38,{scale})")
 
 
 def exact_mean(value: Column, scale: int = 2) -> Column:
