@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import laboratory as op
+from ..session import durable
 from ..sources import projection as src
 from ..sources.readers import blank_to_null
 from .registry import big, davg, drate, query, rnd
@@ -119,14 +120,19 @@ def _raw(spark, folder):
     return src.laboratory_tables(spark, folder)
 
 
-def _model(spark, folder):
-    return op.laboratory_model(_raw(spark, folder))
+def _model(spark, folder, stored=False):
+    return op.laboratory_model(_raw(spark, folder), keep=durable if stored else None)
 
 
 def _results(spark, folder):
     return op.result_fact(op.clean_tables(_raw(spark, folder)))
 
 
+def _stored_results(spark, folder):
+    """The fact table written once, for the queries that read it several times."""
+    return durable(_results(spark, folder))
+
+
 @query("L1_blank_to_null", "SELECT event_id, NULLIF(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, '') AS kind, props FROM events")
 def blank(spark, folder):
     events = src.star(spark, folder, "events")
@@ -303,7 +309,7 @@ UNION ALL SELECT 16, 'Flagged - not changed', 'Specs', 'Specification not in use
 UNION ALL SELECT 17, 'Flagged - not changed', 'Instruments', 'No results linked', (SELECT COUNT(*) FROM ins WHERE name NOT IN (SELECT "Instrument" FROM res))""")
 def cleaning_log(spark, folder):
     raw = _raw(spark, folder)
-    return op.cleaning_log(raw, op.laboratory_model(raw))
+    return op.cleaning_log(raw, op.laboratory_model(raw, keep=durable))
 
 
 def _share(part: str, whole: str) -> str:
@@ -327,7 +333,7 @@ UNION ALL SELECT 'Investigations', n, NULL FROM i UNION ALL SELECT 'Investigatio
 UNION ALL SELECT 'Lots released', out, {_share('out', 'n')} FROM l UNION ALL SELECT 'Self-reviewed results', self, {_share('self', 'n')} FROM x
 UNION ALL SELECT 'Audit-trail corrections', n, NULL FROM a UNION ALL SELECT 'Negative values corrected', neg, {_share('neg', 'n')} FROM a""")
 def quality_summary(spark, folder):
-    return op.quality_summary(_model(spark, folder))
+    return op.quality_summary(_model(spark, folder, stored=True))
 
 
 @query("L22_data_dictionary", f"""WITH {AUDIT},
@@ -345,7 +351,7 @@ def data_dictionary(spark, folder):
 
 @query("L22_data_dictionary_all")
 def data_dictionary_all(spark, folder):
-    return op.data_dictionary(_model(spark, folder))
+    return op.data_dictionary(_model(spark, folder, stored=True))
 
 
 _DIM = " UNION ".join(f"""SELECT '{d}' AS dim, "{d}" AS value FROM res""" for d in op.DIMS)
@@ -368,7 +374,7 @@ SELECT "Result_ID" AS id, {even("DATE_DIFF('second', (SELECT DATE_TRUNC('day', M
        {big(_BITS + ' + CASE WHEN "Audit_Corrections" > 0 THEN 128 ELSE 0 END')} AS flags, "TAT_Days" AS tat
 FROM res r""")
 def dictionary_encode(spark, folder):
-    results = _results(spark, folder)
+    results = _stored_results(spark, folder)
     return op.dictionary_encode(results, op.dimension_values(results))
 
 

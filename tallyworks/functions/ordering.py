@@ -3,7 +3,7 @@
 A plain window numbers all rows of a group in one task. Here the rows are range
 partitioned on (keys, order): because the order is total, even one key that
 holds most of the table is cut into even slices. The slice number is written
-down with the rows (a checkpoint, so every later pass sees the same slices);
+down with the rows (a stored table, so every later pass sees the same slices);
 rows are numbered inside their slice and shifted by what the same key has in
 earlier slices. A key can continue from an earlier slice only as the first key
 of a slice, so the shift table has at most one row per slice and is safe to

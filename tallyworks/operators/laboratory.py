@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -303,10 +303,13 @@ def users_clean(users: DataFrame) -> DataFrame:
     return users.select(F.col("USER_NAME").alias("Username"), F.col("FULL_NAME").alias("Full_Name"))
 
 
-def laboratory_model(raw: dict[str, DataFrame], sla: float = SLA_DAYS) -> dict[str, DataFrame]:
-    """The seven clean tables."""
+def laboratory_model(
+    raw: dict[str, DataFrame], sla: float = SLA_DAYS, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """The seven clean tables; ``keep`` may store the fact table before the others read it."""
     t = clean_tables(raw)
     results = result_fact(t, sla)
+    results = keep(results) if keep else results
     return {
         "Results": results, "Lots": lots_enriched(t["LOT"], results),
         "Investigations": investigations_enriched(t["INVESTIGATION"], results),

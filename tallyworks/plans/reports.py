@@ -49,15 +49,7 @@ def write_retention_report(report: dict[str, DataFrame], path: str) -> None:
 
 def laboratory_report(raw: dict[str, DataFrame], store: str) -> dict[str, DataFrame]:
     """Clean tables plus summary, dictionary and cleaning log; the fact table is written once."""
-    cleaned = lab.clean_tables(raw)
-    results = sinks.materialize(lab.result_fact(cleaned), f"{store}/results")
-    model = {
-        "Results": results, "Lots": lab.lots_enriched(cleaned["LOT"], results),
-        "Investigations": lab.investigations_enriched(cleaned["INVESTIGATION"], results),
-        "Audit_Trail": lab.audit_enriched(cleaned["AUDIT_TRAIL"], cleaned["LIMS_USERS"], results),
-        "Specs": lab.specs_clean(cleaned["PRODUCT_SPEC"]), "Instruments": lab.instrument_usage(cleaned["INSTRUMENTS"], results),
-        "Users": lab.users_clean(cleaned["LIMS_USERS"]),
-    }
+    model = lab.laboratory_model(raw, keep=lambda df: sinks.materialize(df, f"{store}/results"))
     extra = {
         "Summary": lab.quality_summary(model), "Data_Dictionary": lab.data_dictionary(model),
         "Cleaning_Log": lab.cleaning_log(raw, model),

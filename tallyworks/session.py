@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,7 +55,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder once, so later passes agree and survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the rows once and continue from the stored table.
+
+    Later passes see the same rows, survive lost executors and read only the columns they need.
+    """
+    path = path or scratch_path(df.sparkSession, "rows")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

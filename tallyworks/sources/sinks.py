@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ..session import durable, scratch_path  # noqa: F401 - scratch_path is part of this module's interface
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Replace the stored table at ``path`` and continue from what was written."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return durable(df, path)
 
 
 def plain(df: DataFrame) -> DataFrame:
