@@ -71,71 +71,114 @@ def category_names(products: DataFrame, translation: DataFrame) -> DataFrame:
     )
 
 
-def order_items_agg(
-    items: DataFrame, products: DataFrame, translation: DataFrame, ties: tuple[str, ...] = ("order_item_id",)
-) -> DataFrame:
-    """Totals per order with the category and seller of its highest-priced item.
+ITEM_TOTALS = ("items", "item_value", "freight_value", "gmv", "sellers")
 
-    Totals stay in hash aggregation; the pick of the main item compares structs and is a
-    second, narrow aggregate on the same key. Items are aggregated before the product
-    lookup, so the lookup joins one row per order.
-    """
+
+def item_totals(items: DataFrame) -> DataFrame:
+    """Counts and values per order; everything stays in hash aggregation."""
     price, freight = F.col("price"), F.col("freight_value")
-    value, shipping = exact_sum(price), exact_sum(freight)
-    totals = items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("items"), value.cast("double").alias("item_value"),
-        shipping.cast("double").alias("freight_value"), exact_sum(price + freight).cast("double").alias("gmv"),
+    return items.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("items"), exact_sum(price).cast("double").alias("item_value"),
+        exact_sum(freight).cast("double").alias("freight_value"), exact_sum(price + freight).cast("double").alias("gmv"),
         F.count_distinct("seller_id").alias("sellers"),
     )
+
+
+def main_items(items: DataFrame, ties: tuple[str, ...] = ("order_item_id",)) -> DataFrame:
+    """Product and seller of the highest-priced item of every order."""
+    price = F.col("price")
     best = F.struct(
         price.isNull().alias("unpriced"), (-price).alias("falling"),
         *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)], F.col("product_id").alias("p"), F.col("seller_id").alias("s"),
     )
-    mains = items.groupBy("order_id").agg(F.min(best).alias("m")).select(
+    return items.groupBy("order_id").agg(F.min(best).alias("m")).select(
         "order_id", F.col("m.p").alias("product_id"), F.col("m.s").alias("main_seller_id"))
-    return totals.join(mains, "order_id").join(category_names(products, translation), "product_id", "left").select(
-        "order_id", "items", "item_value", "freight_value", "gmv", "sellers",
-        F.coalesce("category", F.lit("unknown")).alias("main_category"), "main_seller_id",
-    )
+
+
+def with_category(mains: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
+    """Adds ``main_category``; the lookup joins one row per order, not one per item."""
+    return mains.join(category_names(products, translation), "product_id", "left").withColumn(
+        "main_category", F.coalesce("category", F.lit("unknown"))).drop("category")
+
+
+def order_items_agg(
+    items: DataFrame, products: DataFrame, translation: DataFrame, ties: tuple[str, ...] = ("order_item_id",)
+) -> DataFrame:
+    """Totals per order with the category and seller of its highest-priced item."""
+    mains = with_category(main_items(items, ties), products, translation)
+    return item_totals(items).join(mains, "order_id").select("order_id", *ITEM_TOTALS, "main_category", "main_seller_id")
 
 
 def order_fact(
-    orders: DataFrame, customers: DataFrame, items_agg: DataFrame, sellers: DataFrame, reviews: DataFrame
+    orders: DataFrame, customers: DataFrame, parts: list[DataFrame], sellers: DataFrame | None = None
 ) -> DataFrame:
-    """One row per order with buyer, value, delivery timing and review."""
+    """One row per order with buyer and delivery timing, and whatever the per-order ``parts`` add.
+
+    ``parts`` (item totals, main items, latest reviews) share the key order_id and stand
+    next to each other, so the orders are exchanged once for all of them.
+    """
     bought, arrived, promised = (
         F.col(c) for c in ("order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date")
     )
-    joined = (
-        orders.join(items_agg, "order_id", "left")
-        .join(reviews.select("order_id", "review_score"), "order_id", "left")
-        .join(customers, "customer_id")
-        .join(sellers.select(F.col("seller_id").alias("main_seller_id"), "seller_state"), "main_seller_id", "left")
-    )
+    joined = orders
+    for part in parts:
+        joined = joined.join(part, "order_id", "left")
+    joined = joined.join(customers, "customer_id")
+    if sellers is not None:
+        named = sellers.select(F.col("seller_id").alias("main_seller_id"), F.col("seller_state").alias("main_seller_state"))
+        joined = joined.join(named, "main_seller_id", "left")
+    extra = [c for c in (*ITEM_TOTALS, "main_category", "main_seller_state", "review_score") if c in joined.columns]
     return joined.select(
         "order_id", BUYER, "customer_state", "order_status",
         bought.alias("purchased_at"), month_start(bought).alias("purchase_month"),
         arrived.alias("delivered_at"), promised.alias("promised_at"),
         F.datediff(arrived, bought).alias("days_to_deliver"),
         F.datediff(arrived, promised).alias("days_late"),
-        (day(arrived) > day(promised)).alias("is_late"),
-        "items", "item_value", "freight_value", "gmv", "sellers", "main_category",
-        F.col("seller_state").alias("main_seller_state"), "review_score",
+        (day(arrived) > day(promised)).alias("is_late"), *extra,
     )
 
 
 def delivered(facts: DataFrame, params: RetentionParams) -> DataFrame:
-    """Delivered orders of the analysis window."""
-    months = F.col("purchase_month").between(F.lit(params.first_month).cast("date"), F.lit(params.last_month).cast("date"))
-    return facts.filter((F.col("order_status") == params.delivered_status) & F.col("delivered_at").isNotNull() & months)
+    """Delivered orders of the analysis window.
 
+    The window is stated on the month and, for the scan, on the timestamp itself.
+    """
+    first, last = F.lit(params.first_month).cast("date"), F.lit(params.last_month).cast("date")
+    bought = F.col("purchased_at")
+    pushed = (bought >= F.trunc(first, "month").cast("timestamp_ntz")) & (
+        bought < F.add_months(F.trunc(last, "month"), 1).cast("timestamp_ntz"))
+    return facts.filter(
+        (F.col("order_status") == params.delivered_status) & F.col("delivered_at").isNotNull()
+        & F.col("purchase_month").between(first, last) & pushed)
+
+
+def build_facts(
+    t: dict[str, DataFrame], item_ties: tuple[str, ...] = ("order_item_id",), columns: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Order facts from the raw tables, joining only what ``columns`` (default all) need.
 
-def build_model(tables: dict[str, DataFrame], params: RetentionParams, item_ties: tuple[str, ...] = ("order_item_id",)) -> DataFrame:
+    The skipped joins are left joins on a unique key, so they change no rows.
+    """
+    need = set(columns if columns is not None else (*ITEM_TOTALS, "main_category", "main_seller_state", "review_score"))
+    parts = []
+    if need & set(ITEM_TOTALS):
+        parts.append(item_totals(t["order_items"]))
+    if need & {"main_category", "main_seller_state"}:
+        mains = main_items(t["order_items"], item_ties)
+        parts.append(with_category(mains, t["products"], t["category_translation"]) if "main_category" in need else mains)
+    if "review_score" in need:
+        parts.append(review_latest(t["order_reviews"]).select("order_id", "review_score"))
+    facts = order_fact(t["orders"], t["customers"], parts, t["sellers"] if "main_seller_state" in need else None)
+    base = [c for c in facts.columns if c not in (*ITEM_TOTALS, "main_category", "main_seller_state", "review_score")]
+    return facts.select(*base, *[c for c in facts.columns if c in need and c not in base])
+
+
+def build_model(
+    tables: dict[str, DataFrame], params: RetentionParams, item_ties: tuple[str, ...] = ("order_item_id",),
+    columns: tuple[str, ...] | None = None,
+) -> DataFrame:
     """Delivered orders straight from the raw tables."""
-    items = order_items_agg(tables["order_items"], tables["products"], tables["category_translation"], item_ties)
-    reviews = review_latest(tables["order_reviews"])
-    facts = order_fact(tables["orders"], tables["customers"], items, tables["sellers"], reviews)
-    return delivered(facts, params)
+    return delivered(build_facts(tables, item_ties, columns), params)
 
 
 def customer_orders(sales: DataFrame) -> DataFrame:
