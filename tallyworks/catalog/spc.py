@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import spc as op
+from ..session import durable
 from ..sources import projection as src
 from .registry import big, query
 
@@ -78,8 +79,14 @@ def _parts(spark, folder):
     return measures, op.subgroup_stats(measures), src.parameters(spark, folder)
 
 
+def _stored(spark, folder):
+    """Like ``_parts`` with the subgroup figures written once, for queries that read them several times."""
+    measures, stats, params = _parts(spark, folder)
+    return measures, durable(stats), params
+
+
 def _flagged(spark, folder, rules=op.RULES):
-    _, stats, params = _parts(spark, folder)
+    _, stats, params = _stored(spark, folder)
     return op.nelson(stats, op.control_limits(stats, params), rules, block=64)
 
 
@@ -193,7 +200,7 @@ SELECT param, subgroup, {LABEL} AS label, date, rep1, rep2, rep3, rep4, mean, ra
        {rule_list(prefix='X-bar R', sep=', ', ranged=True)} AS flags, phase
 FROM flagged JOIN reps USING (param, subgroup)""")
 def subgroup_register(spark, folder):
-    measures, stats, params = _parts(spark, folder)
+    measures, stats, params = _stored(spark, folder)
     flagged = op.nelson(stats, op.control_limits(stats, params), block=64)
     return op.subgroup_register(measures, flagged, 4)
 
@@ -212,7 +219,7 @@ _COUNTS = f"param, COUNT(*) FILTER (WHERE {XHIT}) AS ooc_mean, COUNT(*) FILTER (
 SELECT 'base' AS basis, {_COUNTS} FROM flagged GROUP BY param
 UNION ALL SELECT 'all', {_COUNTS} FROM flagged_all GROUP BY param""")
 def basis_compare(spark, folder):
-    _, stats, params = _parts(spark, folder)
+    _, stats, params = _stored(spark, folder)
     return op.basis_compare(stats, params)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_number, month_start
 from ..functions.numeric import count_where, first_match, guarded_ratio, rounded
+from ..session import durable
 
 
 @dataclass(frozen=True)
@@ -155,8 +156,8 @@ def with_effectiveness(devs: DataFrame, p: DeviationParams) -> DataFrame:
 
 
 def register(devs: DataFrame, p: DeviationParams) -> DataFrame:
-    """The deviation log with every calculated column."""
-    timeline = pair_timeline(devs, p)
+    """The deviation log with every calculated column; both look-ups read one stored timeline."""
+    timeline = durable(pair_timeline(devs, p))
     full = _with_recurrence(_with_repeat(devs, timeline), timeline)
     return full.select(
         *devs.columns, status().alias("status"), days_open(p).alias("days_open"), overdue(p).alias("overdue"),

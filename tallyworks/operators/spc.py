@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import count_where, exact_mean, first_match, outside_limits
+from ..session import durable
 
 BASE = 20
 BLOCK = 4096
@@ -185,8 +186,11 @@ def interval_text(points: DataFrame, intervals: DataFrame, default: str, block:
 
 
 def signal_log(flagged: DataFrame, causes: DataFrame) -> DataFrame:
-    """One row per flagged subgroup with its rules and investigation outcome."""
-    signals = flagged.filter(any_hit())
+    """One row per flagged subgroup with its rules and investigation outcome.
+
+    The signals are few and read three times by the interval match, so they are stored first.
+    """
+    signals = durable(flagged.filter(any_hit()))
     return interval_text(signals, causes, NO_CAUSE).select(
         "param", "subgroup", subgroup_label(F.col("subgroup")).alias("label"), "date", flag_text().alias("rules"),
         "mean", "range", "phase", "cause",
@@ -229,7 +233,10 @@ def subgroup_register(measures: DataFrame, flagged: DataFrame, replicates: int)
 
 
 def basis_compare(stats: DataFrame, parameters: DataFrame, base: int = BASE) -> DataFrame:
-    """Flagged points per parameter under baseline limits and under limits from all data."""
+    """Flagged points per parameter under baseline limits and under limits from all data.
+
+    Subgroup figures are read four times here; pass a stored table when they are costly.
+    """
     parts = [
         ooc_summary(nelson(stats, control_limits(stats, parameters, basis, base), base=base)).select(
             "param", F.lit(basis).alias("basis"), "ooc_mean", "ooc_range", F.col("ooc_total").alias("n"))

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from . import schemas
 
 
-def read_csv_tables(spark: SparkSession, paths: Mapping[str, str], ddl: Mapping[str, str]) -> dict[str, DataFrame]:
-    """Named CSV files with a header row, each with its declared schema."""
+def read_csv_tables(
+    spark: SparkSession, paths: Mapping[str, str], ddl: Mapping[str, str], multi_line: tuple[str, ...] = ("order_reviews",)
+) -> dict[str, DataFrame]:
+    """Named CSV files with a header row, each with its declared schema.
+
+    Only the tables in ``multi_line`` may hold line breaks inside quotes; the files of
+    all others stay splittable.
+    """
     return {
         name: spark.read.schema(ddl[name]).option("header", True).option("enforceSchema", False).option("escape", '"')
-        .option("multiLine", True).csv(path)
+        .option("multiLine", name in multi_line).csv(path)
         for name, path in paths.items()
     }
 

@@ -16,7 +16,9 @@ RETENTION = {
     "order_reviews": "review_id string, order_id string, review_score int, review_comment_title string, "
                      "review_comment_message string, review_creation_date timestamp_ntz, "
                      "review_answer_timestamp timestamp_ntz",
-    "products": "product_id string, product_category_name string",
+    "products": "product_id string, product_category_name string, product_name_lenght int, "
+                "product_description_lenght int, product_photos_qty int, product_weight_g int, "
+                "product_length_cm int, product_height_cm int, product_width_cm int",
     "sellers": "seller_id string, seller_zip_code_prefix string, seller_city string, seller_state string",
     "category_translation": "product_category_name string, product_category_name_english string",
 }

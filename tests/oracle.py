@@ -1,6 +1,6 @@
 """Runs registered queries against their SQL statement in DuckDB and reports differences.
 
-Usage: python -m tests.oracle [--sf 0.01] [name or prefix ...]
+Usage: python -m tests.oracle [--sf 0.01 | --dir folder] [name or prefix ...]
 """
 
 from __future__ import annotations
@@ -71,6 +71,10 @@ def main(argv: list[str]) -> int:
         sf = argv[at + 1]
         argv = argv[:at] + argv[at + 2:]
     folder = f"/root/testdata/sf{sf}"
+    if "--dir" in argv:
+        at = argv.index("--dir")
+        folder = argv[at + 1]
+        argv = argv[:at] + argv[at + 2:]
     queries, sql = registered()
     names = [n for n in queries if not argv or any(n == a or n.startswith(a) for a in argv)]
     spark, con, failed = local_session(), connect(folder), 0
