@@ -18,12 +18,10 @@ from tallyworks.catalog import registered
 from tallyworks.session import local_session
 
 HEADLINE = (
-    "R4_order_fact", "R6_customer_orders", "R7_first_orders", "R8_kpis", "R9_monthly", "R10_cohort", "R12_late_by_state",
-    "R14_repeat_by_first", "R15_repeat_by_category", "R17_rfm_customers", "R18_rfm", "Z2_significance",
-    "D5_repeat_flag", "D8_capa_effectiveness", "D_register", "D10_dev_kpis", "D13_closeout_trend", "D15_repeat_pairs",
-    "L7_result_fact", "L20_cleaning_log", "L21_quality_summary", "L23_dictionary_encode", "L25_column_profile",
-    "P2_control_limits", "P9_rule_subset", "P13_signal_log", "P18_basis_compare", "E2_em_classify", "E8_consecutive_runs",
-    "Q3_repeat_excursions", "W4_global_ntile", "W5_percent_rank",
+    "R4_order_fact", "R6_customer_orders", "R7_first_orders", "R8_kpis", "R10_cohort", "R12_late_by_state",
+    "R14_repeat_by_first", "R17_rfm_customers", "Z2_significance", "D_register", "D10_dev_kpis", "D13_closeout_trend",
+    "D15_repeat_pairs", "L7_result_fact", "L20_cleaning_log", "L23_dictionary_encode", "L25_column_profile",
+    "P2_control_limits", "P9_rule_subset", "P13_signal_log", "E2_em_classify", "Q3_repeat_excursions", "W4_global_ntile",
 )
 
 

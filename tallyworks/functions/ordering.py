@@ -20,9 +20,8 @@ from ..session import durable
 _SLICE = "_slice"
 
 
-def _slices(df: DataFrame, columns: list[Column], slices: int | None) -> DataFrame:
-    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return durable(df.repartitionByRange(count, *columns).withColumn(_SLICE, F.spark_partition_id()))
+def _slice_count(df: DataFrame, slices: int | None) -> int:
+    return slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def number_rows(
@@ -39,7 +38,8 @@ def number_rows(
     first row of the key.
     """
     firsts = firsts or {}
-    cut = _slices(df, [F.col(k) for k in keys] + order, slices)
+    ranged = df.repartitionByRange(_slice_count(df, slices), *[F.col(k) for k in keys], *order)
+    cut = durable(ranged.withColumn(_SLICE, F.spark_partition_id()))
     per_slice = cut.groupBy(_SLICE, *keys).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.min_by(F.struct(F.col(src)), F.struct(*order)).alias(f"_first_{new}") for new, src in firsts.items()],
@@ -74,8 +74,13 @@ def with_global_order(
     total: str | None = None,
     slices: int | None = None,
 ) -> DataFrame:
-    """Positions over the whole table by ``order`` then ``ties``; ``rank`` gives equal ``order`` values one rank."""
-    cut = _slices(df, order + ties, slices)
+    """Positions over the whole table by ``order`` then ``ties``; ``rank`` gives equal ``order`` values one rank.
+
+    Slices are stored in sorted order with the row index of each row, so a position needs
+    no further exchange: the index plus what the earlier slices hold.
+    """
+    ranged = df.repartitionByRange(_slice_count(df, slices), *order, *ties).sortWithinPartitions(*order, *ties)
+    cut = durable(ranged.withColumns({_SLICE: F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     sizes = cut.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("_n"))
     steps = Window.orderBy(_SLICE)
     shift = sizes.select(
@@ -85,7 +90,9 @@ def with_global_order(
     )
     local = Window.partitionBy(_SLICE)
     placed = cut.join(F.broadcast(shift), cut[_SLICE] == shift["_s"])
-    out = placed.withColumn(position, F.row_number().over(local.orderBy(*order, *ties)) + F.col("_before"))
+    # The low 33 bits of the generated id are the row index inside its partition.
+    index = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = placed.withColumn(position, index + 1 + F.col("_before"))
     if rank:
         value = F.struct(*[c.alias(f"v{i}") for i, c in enumerate(order)])
         out = out.withColumn("_v", value).withColumn("_r", F.rank().over(local.orderBy(*order)) + F.col("_before"))
