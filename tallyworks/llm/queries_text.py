@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rule_ledger
+from . import ngram_join, rule_ledger
 from .queries import query, table
 
 LEDGER_SQL = r"""
@@ -43,3 +43,8 @@ def op4_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         (~base & rule_ledger.passes(rule_ledger.CURRENT)).alias("kept"), "fail_bits",
     )
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, folder, "documents"))
