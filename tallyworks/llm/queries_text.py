@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, rule_ledger
+from . import decontaminate, ngram_join, rule_ledger, secret_forest
 from .queries import query, table
 
 LEDGER_SQL = r"""
@@ -48,3 +48,13 @@ def op4_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_ngram_join")
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join_components(table(spark, folder, "documents"))
+
+
+@query("op6_secret_forest")
+def op6_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_forest.secrets(table(spark, folder, "documents"))
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
