@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, rule_ledger, secret_forest
+from . import decontaminate, ngram_join, piece_codec, rule_ledger, secret_forest
 from .queries import query, table
 
 LEDGER_SQL = r"""
@@ -58,3 +58,8 @@ def op6_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_decontaminate")
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op1_piece_codec")
+def op1_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_codec.encoded(table(spark, folder, "documents"))
