@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, piece_codec, rule_ledger, secret_forest
+from . import decontaminate, ngram_join, piece_codec, quality_vote, rule_ledger, secret_forest, toxicity
 from .queries import query, table
 
 LEDGER_SQL = r"""
@@ -63,3 +63,25 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_piece_codec")
 def op1_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.encoded(table(spark, folder, "documents"))
+
+
+def fold_of(count: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % count
+
+
+def classified(rows: DataFrame, held_out: Column) -> DataFrame:
+    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op2_quality_vote")
+def op2_quality_vote(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").filter(fold_of(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    return classified(quality_vote.scored(docs, quality_vote.train(docs, labels)), fold_of(5) == 0)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").filter(fold_of(4) != 2).select("doc_id", F.col("toxic").alias("label"))
+    return classified(toxicity.scored(docs, toxicity.train(docs, labels)), fold_of(4) == 2)
