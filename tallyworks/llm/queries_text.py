@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, piece_codec, quality_vote, rule_ledger, secret_forest, toxicity
+from ..session import scratch_path
+from . import decontaminate, ngram_join, piece_codec, quality_vote, rule_ledger, secret_forest, toxicity, warc
 from .queries import query, table
 
 LEDGER_SQL = r"""
@@ -85,3 +86,22 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").filter(fold_of(4) != 2).select("doc_id", F.col("toxic").alias("label"))
     return classified(toxicity.scored(docs, toxicity.train(docs, labels)), fold_of(4) == 2)
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS x, b FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS last_id FROM h)
+SELECT page_id, payload_bytes, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + (i // 8) * 10, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1), '' ORDER BY i)
+                                FROM range(32) r(i)) AS payload_digest,
+       CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to
+FROM g
+"""
+
+
+@query("op5_warc", WARC_SQL)
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = scratch_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), archive)
+    return warc.read(spark, archive)

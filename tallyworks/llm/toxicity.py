@@ -22,13 +22,13 @@ from .common import UNICODE, WordHasher, chunks, mix, text_column
 class FtrlParams:
     """sample bounds the labelled rows that train the model; bits gives 2 ** bits coordinates."""
 
-    sample: int = 8000
+    sample: int = 12000
     bits: int = 20
-    alpha: float = 0.1
+    alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 12.0
     l2: float = 1.0
-    epochs: int = 4
+    epochs: int = 5
     seen_in: int = 3
 
 
