@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, ngram_join, piece_codec, quality_vote, rule_ledger, secret_forest, toxicity, warc
+from . import decontaminate, ngram_join, personal_data, piece_codec, quality_vote, rule_ledger, secret_forest, toxicity, warc
 from .queries import query, table
 
 LEDGER_SQL = r"""
@@ -105,3 +105,14 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     archive = scratch_path(spark, "warc")
     warc.write(table(spark, folder, "pages"), archive)
     return warc.read(spark, archive)
+
+
+@query("op7_personal_data")
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = personal_data.spans(docs, personal_data.train(docs))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    rank = lambda s: F.array_position(F.array(*map(F.lit, personal_data.KINDS)), s["kind"])
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    both = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: s.dropFields("r"))
+    return found.select("doc_id", *map(count, personal_data.KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(both).alias("spans"))
