@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, ngram_join, personal_data, piece_codec, quality_vote, rule_ledger, secret_forest, toxicity, warc
+from . import decontaminate, ngram_join, personal_data, piece_codec, quality_vote, quotations, rule_ledger, secret_forest, toxicity, warc
 from .queries import query, table
 
 LEDGER_SQL = r"""
@@ -116,3 +116,8 @@ def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     both = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: s.dropFields("r"))
     return found.select("doc_id", *map(count, personal_data.KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(both).alias("spans"))
+
+
+@query("op10_quotations")
+def op10_quotations(spark: SparkSession, folder: str) -> DataFrame:
+    return quotations.linked_conversations(table(spark, folder, "conversations"))
