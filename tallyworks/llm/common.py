@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ SPACE_CODES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SPACES = "".join(map(chr, SPACE_CODES))
 BREAK = r"[\x20\x09-\x0D]+"
 
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 UNICODE = 0x110000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -96,15 +97,15 @@ def plain_words() -> np.ndarray:
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with about CHUNK_CHARS characters each, or one longer text; null texts are empty."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
+        texts = batch.column(column)
+        sizes = np.nan_to_num(np.asarray(pc.cast(pc.binary_length(texts), pa.float64()).to_numpy(zero_copy_only=False)))
         first = size = 0
-        for i, t in enumerate(texts):
-            if i > first and size + len(t) > CHUNK_CHARS:
-                yield batch.slice(first, i - first), texts[first:i]
+        for i, n in enumerate([*sizes.tolist(), None]):
+            if n is None or i > first and size + n > CHUNK_CHARS:
+                if i > first:
+                    yield batch.slice(first, i - first), [t or "" for t in texts.slice(first, i - first).to_pylist()]
                 first, size = i, 0
-            size += len(t)
-        if texts:
-            yield batch.slice(first), texts[first:]
+            size += n or 0
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "component") -> DataFrame:

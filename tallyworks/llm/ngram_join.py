@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ..session import durable
 from .common import WordHasher, chunks, components, mix, plain_words, text_column
 
-RANGE_CHARS = 24_000_000
+# Text per hash range, and tokens a task holds before it passes them on.
+RANGE_CHARS, HELD_TOKENS = 16_000_000, 1_200_000
 HEAVY_SHARE, HEAVY_LEAST = 500, 16
 TABLE = pa.schema([("part", pa.int32()), ("fp1", pa.binary()), ("fp2", pa.binary()), ("n", pa.binary()), ("at", pa.binary()),
                    ("low", pa.binary()), ("high", pa.binary()), ("freq", pa.binary())])
@@ -105,7 +106,7 @@ def profiles(docs: DataFrame, params: JoinParams) -> DataFrame:
             new = np.array([(key not in seen, seen.add(key))[0] for key in zip(fp1.tolist(), fp2.tolist())])
             held.append(tokens[np.repeat(new, sizes)])
             sets += int(new.sum())
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > HELD_TOKENS:
                 if (rows := heavy()) is not None:
                     yield rows
                 held, sets, seen = [], 0, set()
@@ -143,14 +144,15 @@ def pack(part: np.ndarray, parts: int, tokens: np.ndarray, node: np.ndarray, fp1
 def unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
     """(tokens, node number, fp1, fp2, n, freq) of all rows; nodes that came in several rows are one."""
     tokens, node, fps, ns, freqs, shift = [], [], [], [], [], 0
-    for r in table.to_pylist():
+    for at_row in range(table.num_rows):
+        r = {name: table.column(name)[at_row].as_py() for name in TABLE.names[1:]}
         low = np.frombuffer(r["low"], np.uint32)
         own = np.stack((np.frombuffer(r["fp1"], np.int64), np.frombuffer(r["fp2"], np.int64)))
         first, rest = np.frombuffer(r["high"][:8], np.uint64), r["high"][8:]
         high = np.concatenate((first, np.frombuffer(rest, np.uint16 if len(rest) == 2 * (len(low) - 1) else np.uint32).astype(np.uint64)))
         tokens.append(np.cumsum((high << np.uint64(32)) | low, dtype=np.uint64))
         at = np.frombuffer(r["at"], np.uint16 if len(r["at"]) == 2 * len(low) else np.uint32)
-        node.append(at.astype(np.int64) + shift)
+        node.append(at.astype(np.int32) + np.int32(shift))
         fps.append(own)
         ns.append(np.frombuffer(r["n"], np.int32))
         freqs.append(np.frombuffer(r["freq"], np.int32))
@@ -158,8 +160,8 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
     fp = np.concatenate(fps, axis=1)
     order = np.lexsort((fp[1], fp[0]))
     new = np.concatenate(([True], (np.diff(fp[:, order]) != 0).any(axis=0)))
-    number = np.empty(shift, np.int64)
-    number[order] = np.cumsum(new) - 1
+    number = np.empty(shift, np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
     kept = order[new]
     return np.concatenate(tokens), number[np.concatenate(node)], fp[0, kept], fp[1, kept], np.concatenate(ns)[kept], np.concatenate(freqs)
 
@@ -180,7 +182,7 @@ def shared_tokens(docs: DataFrame, heavy: np.ndarray, parts: int, params: JoinPa
             if not tokens:
                 return
             t, n, fp = np.concatenate(tokens), np.concatenate(sizes), np.concatenate(fps, axis=1)
-            node = np.repeat(np.arange(len(n)), n)
+            node = np.repeat(np.arange(len(n), dtype=np.int32), n)
             often = np.zeros(len(t), bool)
             if len(heavy):
                 at = np.minimum(np.searchsorted(heavy, t), len(heavy) - 1)
@@ -197,7 +199,7 @@ def shared_tokens(docs: DataFrame, heavy: np.ndarray, parts: int, params: JoinPa
             tokens.append(t[np.repeat(new, n)])
             sizes.append(n[new])
             fps.append(fp[:, new])
-            if sum(map(len, tokens)) > 3_000_000:
+            if sum(map(len, tokens)) > HELD_TOKENS:
                 yield from flush()
                 tokens, sizes, fps, seen = [], [], [], set()
         yield from flush()
