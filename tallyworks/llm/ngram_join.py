@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +168,7 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 HOT = (1 << 31) - 1
+BITMAP = ("b0", "b1", "b2", "b3")
 
 
 def shared_tokens(docs: DataFrame, heavy: np.ndarray, parts: int, params: JoinParams) -> DataFrame:
@@ -275,7 +277,13 @@ def node_signatures(tokens: np.ndarray, freqs: np.ndarray, n: int, params: JoinP
 
 
 def signatures(nodes: DataFrame, params: JoinParams) -> DataFrame:
-    """(sig, node, n, u) for every signature; u counts the tokens no other node holds."""
+    """(sig, node, n, u, b0..b3) for every signature; u counts the tokens no other node holds, b0..b3 are a bitmap.
+
+    A bit of the bitmap is the parity of the shared tokens that fall on it, so that two bitmaps differ in no more
+    bits than the sets in tokens.
+    """
+    names = ["sig", "node", "n", "u", *BITMAP]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -284,16 +292,19 @@ def signatures(nodes: DataFrame, params: JoinParams) -> DataFrame:
                 sigs = node_signatures(t, np.asarray(batch.column("freqs")[i].values), n, params).view(np.int64)
                 if len(sigs):
                     same = lambda v: pa.array(np.full(len(sigs), v, np.int64))  # noqa: E731,B023
-                    yield pa.record_batch([pa.array(sigs), same(batch.column("node")[i].as_py()), same(n), same(n - len(t))], names=["sig", "node", "n", "u"])
+                    bits = np.packbits(np.bincount((t >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64)
+                    yield pa.record_batch([pa.array(sigs), same(batch.column("node")[i].as_py()), same(n), same(n - len(t)), *map(same, bits)], names=names)
 
-    return nodes.select("node", "n", "tokens", "freqs").mapInArrow(run, "sig long, node long, n long, u long")
+    return nodes.select("node", "n", "tokens", "freqs").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def possible(a: str, b: str, percent: int):
-    """Whether sizes and shared tokens of two nodes leave room for a link."""
+    """Whether sizes, unshared tokens and bitmaps of two nodes leave room for a link."""
     c = lambda s, x: F.col(f"{s}.{x}")
+    both = c(a, "n") + c(b, "n")
     room = F.least(c(a, "n") - c(a, "u"), c(b, "n") - c(b, "u"))
-    return (100 * F.least(c(a, "n"), c(b, "n")) >= percent * F.greatest(c(a, "n"), c(b, "n"))) & ((100 + percent) * room >= percent * (c(a, "n") + c(b, "n")))
+    apart = c(a, "u") + c(b, "u") + reduce(lambda x, y: x + y, (F.bit_count(c(a, x).bitwiseXOR(c(b, x))) for x in BITMAP))
+    return (100 * F.least(c(a, "n"), c(b, "n")) >= percent * F.greatest(c(a, "n"), c(b, "n"))) & ((100 + percent) * room >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -306,8 +317,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def links(nodes: DataFrame, params: JoinParams) -> DataFrame:
     """Links between nodes that connect just the nodes that all links would connect."""
     held = durable(signatures(nodes, params))
-    leader = held.groupBy("sig").agg(F.min(F.struct("u", "node", "n")).alias("lead"), F.count("*").alias("held")).filter("held > 1")
-    leader = leader.select("sig", F.col("lead.node").alias("node"), F.col("lead.n").alias("n"), F.col("lead.u").alias("u"))
+    leader = held.groupBy("sig").agg(F.min(F.struct("u", "node", "n", *BITMAP)).alias("lead"), F.count("*").alias("held")).filter("held > 1")
+    leader = leader.select("sig", "lead.*")
     pair = lambda x, y: (F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
     close = possible("x", "y", params.percent)
     first = held.alias("x").join(leader.alias("y"), "sig").filter((F.col("x.node") != F.col("y.node")) & close).select(*pair("x", "y")).distinct()
