@@ -11,7 +11,7 @@ and leave the window. What survives depends on the model:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +23,7 @@ from .common import chunks, text_column
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHED_WORDS, CACHED_LENGTH, TRACE_EVERY = 300_000, 40, 64
+CACHED_WORDS, CACHED_LENGTH, TRACE_EVERY = 900_000, 40, 64
 
 
 class Vocabulary:
@@ -68,69 +68,90 @@ class Vocabulary:
 
 
 class Stream:
-    """One text, fed in parts; yields pieces as they become final."""
+    """One text, fed in parts; gives pieces as they become final."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         # text begins widest characters before base, or at the start.
         self.text, self.first, self.base = "", 0, 0
-        # Per boundary from base on: (start of the last piece, that piece, score of the path).
-        self.paths: list[tuple[int, str, float]] = [(-1, "", 0.0)]
+        # Per boundary from base on: start of the last piece, that piece, score of the path.
+        self.starts, self.last, self.scores = [-1], [""], [0.0]
 
     def feed(self, text: str) -> Iterator[str]:
         for i in range(0, len(text), TRACE_EVERY):
-            if len(self.paths) > TRACE_EVERY:
+            if len(self.starts) > TRACE_EVERY:
                 yield from self.commit(self.meeting())
-            self.step(text[i: i + TRACE_EVERY])
+            (self.step_unigram if self.v.unigram else self.step)(text[i: i + TRACE_EVERY])
 
     def step(self, more: str) -> None:
-        v, paths, base = self.v, self.paths, self.base
-        pieces, ends, fits, text = v.pieces, v.ends, v.fits, self.text + more
+        """Extends the paths over pieces that fit."""
+        pieces, ends, fits, text = self.v.pieces, self.v.ends, self.v.fits, self.text + more
+        starts, last, shift = self.starts, self.last, self.first - self.base
         self.text = text
         for end in range(len(text) - len(more) + 1, len(text) + 1):
-            best = None
-            for start in range(end - 1, max(-1, base - self.first - 1), -1):
+            start = end - 1
+            piece = text[start:end]
+            while not (piece in pieces or start == end - 1) or not fits(last[start + shift], piece):
+                start -= 1
                 piece = text[start:end]
-                known = pieces.get(piece)
+                if piece not in ends or start + shift < 0:
+                    raise ValueError("no piece fits; the model is not one of merges")
+            starts.append(start + self.first)
+            last.append(piece)
+
+    def step_unigram(self, more: str) -> None:
+        """Extends the paths by the piece with the best sum of scores."""
+        v, text, shift = self.v, self.text + more, self.first - self.base
+        self.text = text
+        for end in range(len(text) - len(more) + 1, len(text) + 1):
+            best = (float("-inf"), end - 1)
+            for start in range(end - 1, max(-1, -shift - 1), -1):
+                piece = text[start:end]
+                known = v.pieces.get(piece)
                 if known is not None or start == end - 1:
-                    at = start + self.first
-                    _, before, score = paths[at - base]
-                    if v.unigram:
-                        score += known[1] if known else v.worst
-                        if best is None or score > best[2]:
-                            best = (at, piece, score)
-                    elif fits(before, piece):
-                        best = (at, piece, 0.0)
-                        break
-                if piece not in ends:
+                    best = max(best, (self.scores[start + shift] + (known[1] if known else v.worst), start))
+                if piece not in v.ends:
                     break
-            paths.append(best)
+            self.scores.append(best[0])
+            self.starts.append(best[1] + self.first)
+            self.last.append(text[best[1]: end])
 
     def meeting(self) -> int:
         """The boundary that the paths of all boundaries in reach have in common."""
-        end = self.base + len(self.paths) - 1
+        end = self.base + len(self.starts) - 1
         alive = set(range(max(self.base, end - self.v.widest + 1), end + 1))
         while len(alive) > 1:
-            last = max(alive)
-            alive.discard(last)
-            alive.add(max(self.base, self.paths[last - self.base][0]))
+            latest = max(alive)
+            alive.discard(latest)
+            alive.add(max(self.base, self.starts[latest - self.base]))
         return alive.pop()
 
-    def commit(self, to: int) -> Iterator[str]:
-        out, at = [], to
+    def commit(self, to: int) -> list[str]:
+        """The pieces of the path up to a boundary, which becomes the new base."""
+        out, at, n = [], to, to - self.base
         while at > self.base:
-            start, piece, _ = self.paths[at - self.base]
-            out.append(piece)
-            at = start
-        keep = self.paths[to - self.base]
-        self.paths = [keep, *self.paths[to - self.base + 1:]]
+            out.append(self.last[at - self.base])
+            at = self.starts[at - self.base]
+        self.starts, self.last, self.scores = self.starts[n:], self.last[n:], self.scores[n:]
         self.base = to
         cut = max(0, to - self.v.widest - self.first)
         self.text, self.first = self.text[cut:], self.first + cut
-        yield from reversed(out)
+        return out[::-1]
+
+    def finish(self) -> list[str]:
+        return self.commit(self.base + len(self.starts) - 1)
 
-    def finish(self) -> Iterator[str]:
-        yield from self.commit(self.base + len(self.paths) - 1)
+
+class Coded(dict):
+    """Ids of pieces as bytes of int32."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__()
+        self.v = vocabulary
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self[piece] = np.array(self.v.ids(piece), np.int32).tobytes()
+        return out
 
 
 class Encoder(dict):
@@ -138,19 +159,17 @@ class Encoder(dict):
     words between spaces are encoded alone and short ones are kept."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+        super().__init__()
+        self.v, self.coded = vocabulary, Coded(vocabulary)
         self.wordwise = not any(SPACE in p.lstrip(SPACE) for p in vocabulary.pieces)
 
-    def stream(self, parts: Iterable[str]) -> Iterator[int]:
-        s = Stream(self.v)
-        for part in parts:
-            for piece in s.feed(part):
-                yield from self.v.ids(piece)
-        for piece in s.finish():
-            yield from self.v.ids(piece)
+    def pieces(self, text: str) -> Iterator[str]:
+        stream = Stream(self.v)
+        yield from stream.feed(text)
+        yield from stream.finish()
 
     def __missing__(self, word: str) -> bytes:
-        out = np.fromiter(self.stream([SPACE + word]), np.int32).tobytes()
+        out = b"".join(map(self.coded.__getitem__, self.pieces(SPACE + word)))
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
                 self.clear()
@@ -162,13 +181,19 @@ class Encoder(dict):
             return b""
         text = text.replace(SPACE, " ")
         if not self.wordwise:
-            return np.fromiter(self.stream([SPACE, text.replace(" ", SPACE)]), np.int32).tobytes()
+            return b"".join(map(self.coded.__getitem__, self.pieces(SPACE + text.replace(" ", SPACE))))
         words = text.split(" ")
         if "  " in text or text[0] == " " or text[-1] == " ":
             words = list(spaced(words))
         return b"".join(map(self.__getitem__, words))
 
 
+@lru_cache(1)
+def encoder(model: str, unigram: bool) -> Encoder:
+    """One encoder a worker, whose words stay for its later tasks."""
+    return Encoder(Vocabulary.load(model, unigram))
+
+
 def spaced(words: list[str]) -> Iterator[str]:
     """Joins every run of spaces with the word after it."""
     run = 0
@@ -201,8 +226,8 @@ def encoded(docs: DataFrame, model: str = MODEL, unigram: bool = False) -> DataF
     repeat; other columns are not read. model is a path that every executor can read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary.load(model, unigram)
-        encode, decode = Encoder(vocabulary), decoder(vocabulary)
+        encode = encoder(model, unigram)
+        decode = decoder(encode.v)
         for batch, texts in chunks(batches):
             coded = [encode(t) for t in texts]
             ids = np.frombuffer(b"".join(coded), np.int32)

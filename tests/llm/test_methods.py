@@ -84,7 +84,7 @@ def test_streams_of_any_cut_give_the_same_pieces():
             while at < len(part):
                 step = r.randint(1, 90)
                 out += stream.feed(part[at: at + step])
-                widest = max(widest, len(stream.paths))
+                widest = max(widest, len(stream.starts))
                 at += step
             break
         out += stream.finish()
