@@ -50,12 +50,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def dsum(value: str, scale: int = 2) -> str:
-    return f"CAST(SUM(CAST({value} AS DECIMAL(18,{scale}))) AS DOUBLE)"
+def dsum(value: str) -> str:
+    """Sum of the decimal readings; texts stand between, so that no double rounds on the way."""
+    return f"CAST(CAST(SUM(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,12))) AS VARCHAR) AS DOUBLE)"
 
 
-def davg(value: str, scale: int = 2) -> str:
-    return f"({dsum(value, scale)} / COUNT({value}))"
+def davg(value: str) -> str:
+    return f"({dsum(value)} / COUNT({value}))"
 
 
 def drate(condition: str) -> str:

@@ -1,8 +1,8 @@
 """Exact sums, rounding and small numeric rules.
 
-Sums of doubles depend on the order in which partitions arrive. Money and
-counts are therefore summed as decimals, which gives the same bits whatever
-the partitioning and after any task retry.
+Sums of doubles depend on the order in which partitions arrive. Numbers are
+therefore summed as decimals, which gives the same bits whatever the
+partitioning and after any task retry; nothing is rounded before the sum.
 """
 
 from __future__ import annotations
@@ -23,29 +23,19 @@ def count_where(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
-def units(value: Column, scale: int) -> Column:
-    """The number as a whole count of 10^-scale units, halves away from zero."""
-    if not scale:
-        return value.cast("bigint")
-    scaled = value.cast("double") * float(10**scale)
-    return F.when(scaled < 0, -F.floor(0.5 - scaled)).otherwise(F.floor(scaled + 0.5))
+def exact_sum(value: Column) -> Column:
+    """Order-independent sum of the decimal readings, 12 digits behind the point.
 
-
-def exact_sum(value: Column, scale: int = 2) -> Column:
-    """Order-independent sum as a decimal with ``scale`` digits.
-
-    Units are split into a high and a low part and summed as longs, which stays in
-    code generation and hash aggregation; the two sums are put together once per group.
+    A number that does not fit (beyond 10^26, or not a number) and a sum that does not fit are errors.
     """
-    whole = units(value, scale)
-    high = F.sum(F.shiftright(whole, 20)).cast("decimal(38,0)") * F.lit(1 << 20)
-    total = high + F.sum(whole.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(38,0)")
-    return (total.cast("decimal(28,0)") * F.lit(10**-scale).cast(f"decimal(8,{scale})")).cast(f"decimal(38,{scale})")
+    decimal = value.cast(WIDE)
+    lost = F.when(value.isNotNull(), F.raise_error(F.lit("a number has no decimal reading")).cast(WIDE))
+    return F.sum(F.coalesce(decimal, lost))
 
 
-def exact_mean(value: Column, scale: int = 2) -> Column:
+def exact_mean(value: Column) -> Column:
     """Order-independent mean of the non-null values, null when there are none."""
-    return F.try_divide(exact_sum(value, scale).cast("double"), F.count(value).cast("double"))
+    return F.try_divide(exact_sum(value).cast("double"), F.count(value).cast("double"))
 
 
 def rate(condition: Column) -> Column:

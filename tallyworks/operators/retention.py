@@ -77,9 +77,10 @@ ITEM_TOTALS = ("items", "item_value", "freight_value", "gmv", "sellers")
 def item_totals(items: DataFrame) -> DataFrame:
     """Counts and values per order; everything stays in hash aggregation."""
     price, freight = F.col("price"), F.col("freight_value")
+    reading = lambda c: c.cast("decimal(30,12)")  # noqa: E731 - their sum keeps all 12 digits
     return items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("items"), exact_sum(price).cast("double").alias("item_value"),
-        exact_sum(freight).cast("double").alias("freight_value"), exact_sum(price + freight).cast("double").alias("gmv"),
+        exact_sum(freight).cast("double").alias("freight_value"), exact_sum(reading(price) + reading(freight)).cast("double").alias("gmv"),
         F.count_distinct("seller_id").alias("sellers"),
     )
 
@@ -247,7 +248,7 @@ def kpis(sales: DataFrame, params: RetentionParams) -> DataFrame:
     head = sales.agg(
         F.count(F.lit(1)).alias("orders"), exact_sum(F.col("gmv")).alias("total"),
         exact_mean(F.col("gmv")).alias("aov"), rate(F.col("is_late")).alias("late"),
-        exact_mean(F.col("review_score"), 0).alias("review"),
+        exact_mean(F.col("review_score")).alias("review"),
         F.min("purchased_at").alias("lo"), F.max("purchased_at").alias("hi"),
     )
     return head.withColumns({"b": buyers, "f": first}).select(
@@ -269,7 +270,7 @@ def monthly(sales: DataFrame, params: RetentionParams) -> DataFrame:
     )
     by_month = sales.groupBy("purchase_month").agg(
         F.count(F.lit(1)).alias("orders"), exact_sum(F.col("gmv")).alias("gmv"),
-        rate(F.col("is_late")).alias("late"), exact_mean(F.col("review_score"), 0).alias("review"),
+        rate(F.col("is_late")).alias("late"), exact_mean(F.col("review_score")).alias("review"),
     )
     first = F.coalesce("first_orders", F.lit(0))
     return by_month.join(starts, "purchase_month", "left").select(
@@ -302,7 +303,7 @@ def late_vs_review(sales: DataFrame) -> DataFrame:
     order, label = bucketed(F.col("days_late"), *LATENESS)
     score = F.col("review_score")
     return sales.filter(score.isNotNull()).groupBy(order.alias("bucket_order"), label.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("orders"), rounded(exact_mean(score, 0), 2).alias("avg_review"),
+        F.count(F.lit(1)).alias("orders"), rounded(exact_mean(score), 2).alias("avg_review"),
         rounded(rate(score <= 2), 4).alias("negative_share"), rounded(rate(score == 5), 4).alias("five_star_share"),
     ).orderBy("bucket_order")
 
@@ -312,7 +313,7 @@ def late_by_state(sales: DataFrame) -> DataFrame:
     return sales.groupBy(F.col("customer_state").alias("state")).agg(
         F.count(F.lit(1)).alias("orders"), rounded(rate(F.col("is_late")), 4).alias("late_rate"),
         rounded(F.median("days_to_deliver"), 1).alias("median_days_to_deliver"),
-        rounded(exact_mean(F.col("review_score"), 0), 2).alias("avg_review"),
+        rounded(exact_mean(F.col("review_score")), 2).alias("avg_review"),
         rounded(rate(F.col("customer_state") != F.col("main_seller_state")), 4).alias("interstate_share"),
     ).orderBy(F.desc("late_rate"), "state")
 
@@ -327,7 +328,7 @@ def late_by_route(sales: DataFrame) -> DataFrame:
     return sales.filter(F.col("main_seller_state").isNotNull()).groupBy(_route().alias("route")).agg(
         F.count(F.lit(1)).alias("orders"), rounded(rate(F.col("is_late")), 4).alias("late_rate"),
         rounded(F.median("days_to_deliver"), 1).alias("median_days_to_deliver"),
-        rounded(exact_mean(F.col("review_score"), 0), 2).alias("avg_review"),
+        rounded(exact_mean(F.col("review_score")), 2).alias("avg_review"),
     ).orderBy("route")
 
 
@@ -399,7 +400,7 @@ def rfm(customers: DataFrame) -> DataFrame:
     """Segment summary in report order; the windows run over at most eight rows."""
     grouped = customers.groupBy("segment").agg(
         F.count(F.lit(1)).alias("buyers"), exact_sum(F.col("monetary")).alias("_gmv"),
-        exact_mean(F.col("recency_days"), 0).alias("_recency"), exact_mean(F.col("frequency"), 0).alias("_frequency"),
+        exact_mean(F.col("recency_days")).alias("_recency"), exact_mean(F.col("frequency")).alias("_frequency"),
         exact_mean(F.col("monetary")).alias("_spend"),
     )
     every = Window.partitionBy()
@@ -419,14 +420,14 @@ def categories(sales: DataFrame, params: RetentionParams) -> DataFrame:
     return sales.groupBy(F.col("main_category").alias("category")).agg(
         F.count(F.lit(1)).alias("orders"), F.round(exact_sum(F.col("gmv")), 2).cast("double").alias("gmv"),
         rounded(exact_mean(F.col("gmv")), 2).alias("avg_order_value"), rounded(rate(F.col("is_late")), 4).alias("late_rate"),
-        rounded(exact_mean(F.col("review_score"), 0), 2).alias("avg_review"),
+        rounded(exact_mean(F.col("review_score")), 2).alias("avg_review"),
     ).orderBy(F.desc_nulls_last("gmv"), "category").limit(params.top_categories)
 
 
 def avg_cohort_curve(cohorts: DataFrame) -> DataFrame:
     """Unweighted mean retention over the cohorts that reached an offset."""
     return cohorts.groupBy("month_offset").agg(
-        F.count(F.lit(1)).alias("cohorts"), rounded(exact_mean(F.col("retention"), 5), 6).alias("avg_retention")
+        F.count(F.lit(1)).alias("cohorts"), rounded(exact_mean(F.col("retention")), 6).alias("avg_retention")
     ).orderBy("month_offset")
 
 

@@ -22,7 +22,7 @@ def vendor_scorecard(orders: DataFrame, cutoff: float = 0.8) -> DataFrame:
     on_time = F.col("received") <= F.col("due")
     scored = orders.groupBy("vendor").agg(
         F.count(F.lit(1)).alias("orders"), count_where(on_time).alias("on_time"), rate(on_time).alias("_rate"),
-        rounded(exact_mean(F.datediff("received", "ordered"), 0), 4).alias("mean_lead_days"))
+        rounded(exact_mean(F.datediff("received", "ordered")), 4).alias("mean_lead_days"))
     return scored.select(
         "vendor", "orders", "on_time", rounded(F.col("_rate"), 6).alias("on_time_rate"), "mean_lead_days",
         (F.col("_rate") < cutoff).alias("at_risk"))
