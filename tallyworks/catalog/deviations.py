@@ -16,7 +16,7 @@ DEVS = f"""devs0 AS (
          CASE o_orderstatus WHEN 'F' THEN 'Minor' WHEN 'O' THEN 'Major' ELSE 'Critical' END AS sev,
          o_orderpriority AS cause, 'Owner ' || (c_nationkey % 7) AS owner,
          CAST(o_orderdate AS DATE) + CAST(1 + o_orderkey % 120 AS INT) AS closed0
-  FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate <= {ASOF}
+  FROM orders JOIN customer ON c_custkey = o_custkey
 ),
 devs1 AS (
   SELECT id, opened, area, asset, sev, cause, owner, CASE WHEN closed0 <= {ASOF} THEN closed0 END AS closed,

@@ -8,10 +8,14 @@ from ..operators import monitoring as op
 from ..sources import projection as src
 from .registry import dsum, drate, query, rnd
 
-EVENTS = """em0 AS (
+EVENTS = f"""readings AS (
   SELECT 'R' || LPAD(CAST(l_suppkey % 17 AS VARCHAR), 2, '0') AS room, l_returnflag AS test, CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS month,
-         CAST(SUM(CAST(l_quantity AS DECIMAL(18,8))) AS DOUBLE) / COUNT(*) AS value, COUNT(*) AS n_samples
-  FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2, 3
+         l_quantity + CASE (YEAR(l_shipdate) * 12 + MONTH(l_shipdate) + l_suppkey % 17) % 9 WHEN 0 THEN 22 WHEN 1 THEN -12 WHEN 2 THEN -18 ELSE 0 END AS reading
+  FROM lineitem
+),
+em0 AS (
+  SELECT room, test, month, {dsum('reading')} / COUNT(*) AS value, COUNT(*) AS n_samples
+  FROM readings GROUP BY 1, 2, 3
 )"""
 CLASSIFIED = EVENTS + """,
 em1 AS (
@@ -30,7 +34,7 @@ ctx AS (
          CASE WHEN has_capa THEN 'CAPA-' || room || '-' || test || '-' || STRFTIME(month, '%Y%m') END AS capa,
          CASE WHEN has_capa THEN CASE WHEN i % 3 = 0 THEN 'Open' ELSE 'Closed' END END AS capa_status,
          CASE WHEN has_capa AND i % 3 <> 0 THEN 10 + i % 50 END AS days_to_close,
-         CASE WHEN level <> 'Pass' THEN 'Cause ' || (i % 13) END AS root_cause, 'Analyst ' || (i % 5) AS analyst, 'Reviewer ' || (i % 3) AS qa_reviewer
+         CASE WHEN level <> 'Pass' AND i % 29 <> 0 THEN 'Cause ' || (i % 13) END AS root_cause, 'Analyst ' || (i % 5) AS analyst, 'Reviewer ' || (i % 3) AS qa_reviewer
   FROM ctx1
 )"""
 
@@ -58,7 +62,7 @@ def em_classify(spark, folder):
 
 
 @query("E3_em_trend", f"""WITH {CLASSIFIED}
-SELECT test, month, COUNT(*) AS events, {rnd(f"{dsum('value', 8)} / COUNT(*)", 6)} AS mean_value, MAX(alert) AS alert, MAX(action) AS action,
+SELECT test, month, COUNT(*) AS events, {rnd(f"{dsum('value')} / COUNT(*)", 6)} AS mean_value, MAX(alert) AS alert, MAX(action) AS action,
        COUNT(*) FILTER (WHERE level = 'Action') AS actions FROM em GROUP BY 1, 2""")
 def em_trend(spark, folder):
     return op.em_trend(_classified(spark, folder))
@@ -73,18 +77,20 @@ def worst_by_month(spark, folder):
     return op.worst_by_month(_classified(spark, folder))
 
 
+# The months of the test tables.
+SPAN = ("1995-01", "2001-11")
 _MONTHS = ", ".join(
-    f"CASE MAX(CASE WHEN MONTH(month) = {m} THEN CASE level WHEN 'Action' THEN 2 WHEN 'Alert' THEN 1 ELSE 0 END END) "
-    f"WHEN 2 THEN 'Action' WHEN 1 THEN 'Alert' WHEN 0 THEN 'Pass' END AS m{m:02d}" for m in range(1, 13))
+    f"CASE MAX(CASE WHEN month = DATE '{y}-{m:02d}-01' THEN CASE level WHEN 'Action' THEN 2 WHEN 'Alert' THEN 1 ELSE 0 END END) "
+    f"WHEN 2 THEN 'Action' WHEN 1 THEN 'Alert' WHEN 0 THEN 'Pass' END AS m{y}{m:02d}" for y, m in op.months_between(*SPAN))
 
 
-@query("E4_facility_matrix", f"WITH {CLASSIFIED} SELECT room, {_MONTHS} FROM em WHERE YEAR(month) = 1998 GROUP BY 1")
+@query("E4_facility_matrix", f"WITH {CLASSIFIED} SELECT room, {_MONTHS} FROM em GROUP BY 1")
 def facility_matrix(spark, folder):
-    return op.facility_matrix(_classified(spark, folder), 1998)
+    return op.facility_matrix(_classified(spark, folder), *SPAN)
 
 
 _PARETO = CONTEXT + """,
-causes AS (SELECT root_cause, COUNT(*) AS count FROM ctx WHERE level <> 'Pass' GROUP BY 1),
+causes AS (SELECT COALESCE(root_cause, 'No cause recorded') AS root_cause, COUNT(*) AS count FROM ctx WHERE level <> 'Pass' GROUP BY 1),
 running AS (SELECT *, SUM(count) OVER (ORDER BY count DESC, root_cause ROWS UNBOUNDED PRECEDING) AS upto, SUM(count) OVER () AS total FROM causes)"""
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import spc as op
 from ..session import durable
 from ..sources import projection as src
-from .registry import big, query
+from .registry import big, dsum, query
 
-MEASURES = """numbered AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn, COUNT(*) OVER (PARTITION BY event_type) AS total FROM events
+MEASURES = f"""numbered AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events
 ),
 sub AS (SELECT *, (rn - 1) // 4 + 1 AS subgroup, (rn - 1) % 4 + 1 AS rep FROM numbered),
 measures AS (
@@ -18,21 +18,21 @@ measures AS (
          CAST(CAST(value AS DECIMAL(18,2)) + CASE WHEN event_type = 'click' AND subgroup >= 31 THEN 25
               WHEN event_type = 'view' AND subgroup BETWEEN 26 AND 45 THEN 6 * (subgroup - 25)
               WHEN event_type = 'error' AND subgroup BETWEEN 30 AND 35 AND rep = 1 THEN 200 ELSE 0 END AS DOUBLE) AS value
-  FROM sub WHERE subgroup * 4 <= total
+  FROM sub
 ),
 params AS (SELECT DISTINCT event_type AS param, CAST(CASE WHEN event_type NOT IN ('signup', 'view') THEN 0 END AS DOUBLE) AS lsl,
                   CAST(CASE WHEN event_type <> 'view' THEN 100 END AS DOUBLE) AS usl FROM events),
 stats AS (
-  SELECT param, subgroup, MIN(date) AS date, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,8))) AS DOUBLE) / COUNT(*) AS mean,
+  SELECT param, subgroup, MIN(date) AS date, COUNT(*) AS n, {dsum('value')} / COUNT(*) AS mean,
          MAX(value) - MIN(value) AS range
   FROM measures GROUP BY 1, 2
 )"""
-CENTRE = "CAST(SUM(CAST(mean AS DECIMAL(18,8))) AS DOUBLE) / COUNT(*) AS {0}, CAST(SUM(CAST(range AS DECIMAL(18,8))) AS DOUBLE) / COUNT(*) AS rbar"
+CENTRE = f"{dsum('mean')} / COUNT(*) AS {{0}}, {dsum('range')} / COUNT(*) AS rbar"
 A2, D4, D2 = ("CAST(0.729 AS DOUBLE)", "CAST(2.282 AS DOUBLE)", "CAST(2.059 AS DOUBLE)")
 
 
 def limits_cte(basis: str, name: str = "limits") -> str:
-    where = "WHERE subgroup <= 20" if basis == "base" else ""
+    where = "WHERE n = 4 AND subgroup <= 20" if basis == "base" else "WHERE n = 4"
     return f"""{name} AS (
   SELECT param, {big(4)} AS n, cl, cl + {A2} * rbar AS ucl, cl - {A2} * rbar AS lcl, {A2} * rbar / 3 AS s, rbar,
          {D4} * rbar AS rucl, CAST(0 AS DOUBLE) * rbar AS rlcl, rbar / {D2} AS sigma
@@ -144,7 +144,7 @@ CAPABILITY = f"""{MEASURES}, cap AS (
   SELECT param, phase, mu, s, (usl - mu) / (3 * s) AS cpu, (mu - lsl) / (3 * s) AS cpl, (usl - lsl) / (6 * s) AS cp,
          LEAST((usl - mu) / (3 * s), (mu - lsl) / (3 * s)) AS cpk
   FROM (SELECT *, rbar / {D2} AS s FROM (
-    SELECT param, CASE WHEN subgroup <= 20 THEN 'Baseline' ELSE 'Monitoring' END AS phase, {CENTRE.format('mu')} FROM stats GROUP BY 1, 2))
+    SELECT param, CASE WHEN subgroup <= 20 THEN 'Baseline' ELSE 'Monitoring' END AS phase, {CENTRE.format('mu')} FROM stats WHERE n = 4 GROUP BY 1, 2))
   JOIN params USING (param)
 )"""
 

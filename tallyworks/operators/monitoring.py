@@ -10,13 +10,13 @@ from ..functions.numeric import count_where, exact_mean, first_match, rate, roun
 from .deviations import has_text, register_filter
 
 LEVELS = ("Pass", "Alert", "Action")
-SCALE = 8
+NO_CAUSE = "No cause recorded"
 
 
 def em_result(samples: DataFrame) -> DataFrame:
     """Mean and number of the readings of an event."""
     return samples.groupBy("room", "test", "month").agg(
-        exact_mean(F.col("value"), SCALE).alias("value"), F.count("value").alias("n_samples"))
+        exact_mean(F.col("value")).alias("value"), F.count("value").alias("n_samples"))
 
 
 def level(value: Column, alert: Column, action: Column, direction: Column) -> Column:
@@ -41,7 +41,7 @@ def em_classify(events: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("
 def em_trend(classified: DataFrame) -> DataFrame:
     """Monthly mean per test with its limits and the number of action results."""
     return classified.groupBy("test", "month").agg(
-        F.count(F.lit(1)).alias("events"), rounded(exact_mean(F.col("value"), SCALE), 6).alias("mean_value"),
+        F.count(F.lit(1)).alias("events"), rounded(exact_mean(F.col("value")), 6).alias("mean_value"),
         F.max("alert").alias("alert"), F.max("action").alias("action"),
         count_where(F.col("level") == "Action").alias("actions")).orderBy("test", "month")
 
@@ -53,13 +53,19 @@ def worst_by_month(classified: DataFrame) -> DataFrame:
     return classified.groupBy("room", "month").agg(worst.alias("_w")).select("room", "month", name.alias("worst"))
 
 
-def facility_matrix(classified: DataFrame, year: int) -> DataFrame:
-    """Worst level per room, one column per calendar month of a year."""
-    inside = classified.filter(F.year("month") == year)
-    rank = severity(F.col("level"))
-    grid = inside.groupBy("room").agg(*[
-        F.max(F.when(F.month("month") == m, rank)).alias(f"m{m:02d}") for m in range(1, 13)])
-    named = [first_match([(F.col(f"m{m:02d}") == r, t) for r, t in enumerate(LEVELS)]).alias(f"m{m:02d}") for m in range(1, 13)]
+def months_between(first: str, last: str) -> list[tuple[int, int]]:
+    """(year, month) from first to last, both given as yyyy-MM."""
+    a, b = (int(x[:4]) * 12 + int(x[5:7]) - 1 for x in (first, last))
+    return [(i // 12, i % 12 + 1) for i in range(a, b + 1)]
+
+
+def facility_matrix(classified: DataFrame, first: str, last: str) -> DataFrame:
+    """Worst level per room, one column per month from first to last (yyyy-MM)."""
+    rank, months = severity(F.col("level")), months_between(first, last)
+    name = lambda y, m: f"m{y}{m:02d}"
+    grid = classified.groupBy("room").agg(*[
+        F.max(F.when((F.year("month") == y) & (F.month("month") == m), rank)).alias(name(y, m)) for y, m in months])
+    named = [first_match([(F.col(name(y, m)) == r, t) for r, t in enumerate(LEVELS)]).alias(name(y, m)) for y, m in months]
     return grid.select("room", *named)
 
 
@@ -68,9 +74,12 @@ def excursion(classified: DataFrame) -> DataFrame:
 
 
 def em_pareto(classified: DataFrame, cut: float = 0.8) -> DataFrame:
-    """Causes of excursions in falling order; ``in_cut`` marks those needed to reach the cut-off."""
-    counts = excursion(classified).filter(F.col("root_cause").isNotNull()).groupBy("root_cause").agg(
-        F.count(F.lit(1)).alias("count"))
+    """Causes of excursions in falling order; ``in_cut`` marks those needed to reach the cut-off.
+
+    Excursions without a cause have a label of their own, so that the counts add up to all excursions.
+    """
+    cause = F.coalesce("root_cause", F.lit(NO_CAUSE)).alias("root_cause")
+    counts = excursion(classified).groupBy(cause).agg(F.count(F.lit(1)).alias("count"))
     falling = Window.orderBy(F.desc("count"), "root_cause").rowsBetween(Window.unboundedPreceding, 0)
     total, running = F.sum("count").over(Window.partitionBy()), F.sum("count").over(falling)
     return counts.select(
@@ -88,7 +97,7 @@ def em_summary(classified: DataFrame) -> DataFrame:
         F.count_distinct("room").alias("rooms"), F.count(F.lit(1)).alias("events"),
         rounded(rate(F.col("level") == "Pass"), 6).alias("pass_rate"),
         count_where(F.col("capa_status") == "Open").alias("open_capas"),
-        rounded(exact_mean(F.col("days_to_close"), 0), 4).alias("mean_days_to_close"))
+        rounded(exact_mean(F.col("days_to_close")), 4).alias("mean_days_to_close"))
 
 
 def audit_log(

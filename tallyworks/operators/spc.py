@@ -19,7 +19,6 @@ from ..session import durable
 BASE = 20
 BLOCK = 4096
 LOOK_BACK = 8
-SCALE = 8
 
 # Shewhart control chart constants by subgroup size.
 CONSTANTS = {
@@ -29,6 +28,7 @@ CONSTANTS = {
     5: {"A2": 0.577, "D3": 0.0, "D4": 2.114, "d2": 2.326},
 }
 RULES = (1, 2, 3, 5, 6)
+# Fixed value: output text of signals without a cause.
 NO_CAUSE = "No assignable cause found. Common-cause variation; no action, continue monitoring."
 
 
@@ -51,18 +51,23 @@ def subgroup_label(subgroup: Column) -> Column:
 def subgroup_stats(measures: DataFrame) -> DataFrame:
     """Mean and range of the replicates of every subgroup."""
     return measures.groupBy("param", "subgroup").agg(
-        F.min("date").alias("date"), F.count("value").alias("n"), exact_mean(F.col("value"), SCALE).alias("mean"),
+        F.min("date").alias("date"), F.count("value").alias("n"), exact_mean(F.col("value")).alias("mean"),
         (F.max("value") - F.min("value")).alias("range"),
     )
 
 
+def full_subgroups(stats: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Subgroups with all replicates; the others count as points and values but set no limits."""
+    return stats.join(parameters.select("param", F.col("n").alias("_size")), "param").filter(F.col("n") == F.col("_size")).drop("_size")
+
+
 def control_limits(stats: DataFrame, parameters: DataFrame, basis: str = "base", base: int = BASE) -> DataFrame:
     """Centre lines, limits and sigmas per parameter from the baseline or from all subgroups."""
     if basis not in ("base", "all"):
         raise ValueError("basis is 'base' or 'all'")
-    used = stats.filter(F.col("subgroup") <= base) if basis == "base" else stats
+    used = full_subgroups(stats.filter(F.col("subgroup") <= base) if basis == "base" else stats, parameters)
     centre = used.groupBy("param").agg(
-        exact_mean(F.col("mean"), SCALE).alias("cl"), exact_mean(F.col("range"), SCALE).alias("rbar"))
+        exact_mean(F.col("mean")).alias("cl"), exact_mean(F.col("range")).alias("rbar"))
     n, cl, rbar = F.col("n"), F.col("cl"), F.col("rbar")
     spread = constant(n, "A2") * rbar
     return centre.join(parameters.select("param", "n"), "param").select(
@@ -149,8 +154,8 @@ def ooc_summary(flagged: DataFrame) -> DataFrame:
 
 def capability(stats: DataFrame, parameters: DataFrame, base: int = BASE) -> DataFrame:
     """Process mean, sigma, Cp and Cpk per parameter and phase; one-sided specs have no Cp."""
-    grouped = stats.groupBy("param", phase_label(F.col("subgroup"), base).alias("phase")).agg(
-        exact_mean(F.col("mean"), SCALE).alias("mu"), exact_mean(F.col("range"), SCALE).alias("rbar"))
+    grouped = full_subgroups(stats, parameters).groupBy("param", phase_label(F.col("subgroup"), base).alias("phase")).agg(
+        exact_mean(F.col("mean")).alias("mu"), exact_mean(F.col("range")).alias("rbar"))
     mu, s, lsl, usl = (F.col(c) for c in ("mu", "s", "lsl", "usl"))
     joined = grouped.join(parameters.select("param", "n", "lsl", "usl"), "param").withColumn(
         "s", F.col("rbar") / constant(F.col("n"), "d2"))
@@ -220,7 +225,7 @@ def replicate_columns(measures: DataFrame, replicates: int) -> DataFrame:
     """Replicates of a subgroup side by side, with mean and range."""
     reps = [F.max(F.when(F.col("rep") == j, F.col("value"))).alias(f"rep{j}") for j in range(1, replicates + 1)]
     return measures.groupBy("param", "subgroup").agg(
-        F.min("date").alias("date"), *reps, exact_mean(F.col("value"), SCALE).alias("mean"),
+        F.min("date").alias("date"), *reps, exact_mean(F.col("value")).alias("mean"),
         (F.max("value") - F.min("value")).alias("range"),
     )
 

@@ -99,14 +99,15 @@ def line_reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 # --------------------------------------------------------------- deviations
 
-DEVIATION_ASOF = "2001-06-30"
+# After the last record, so that no record is left out.
+DEVIATION_ASOF = "2001-08-31"
 
 
 def deviations(spark: SparkSession, folder: str, asof: str = DEVIATION_ASOF) -> DataFrame:
-    """Orders up to the as-of date read as deviation records."""
+    """Orders read as deviation records, with closures up to the as-of date."""
     asof_day = F.lit(asof).cast("date")
     customer = star(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    orders = star(spark, folder, "orders").filter(F.col("o_orderdate") <= F.lit(asof).cast("timestamp_ntz"))
+    orders = star(spark, folder, "orders")
     opened = F.to_date("o_orderdate")
     closed = F.date_add(opened, (1 + F.col("o_orderkey") % 120).cast("int"))
     capa_closed = F.date_add(F.col("closed"), (20 + F.col("id") % 70).cast("int"))
@@ -159,7 +160,8 @@ def laboratory_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         F.when(is_em, F.concat(F.lit("site_"), (F.col("user_id") % 11).cast("string"))).alias("SAMPLING_POINT"),
         F.when(~is_em, F.concat(F.lit("P"), (F.col("event_id") % 3).cast("string"))).alias("PRODUCT"),
         F.when(~is_em, F.concat(F.lit("L"), (F.col("event_id") % 80).cast("string"))).alias("LOT"),
-        F.when(F.col("event_id") % 5 == 0, F.col("entered_by")).otherwise(F.col("reviewed_by")).alias("REVIEWER"),
+        F.when(F.col("event_id") % 83 == 0, F.lit(None)).when(F.col("event_id") % 5 == 0, F.col("entered_by"))
+        .otherwise(F.col("reviewed_by")).alias("REVIEWER"),
     )
     test = e.select(
         F.col("event_id").alias("TEST_NUMBER"), F.col("event_id").alias("SAMPLE_NUMBER"),
@@ -236,10 +238,12 @@ def laboratory_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def measures(spark: SparkSession, folder: str) -> DataFrame:
-    """Events numbered per type and cut into full subgroups of four, with special causes laid over them."""
+    """Events numbered per type and cut into subgroups of four, with special causes laid over them.
+
+    The last subgroup of a type may have fewer values.
+    """
     events = star(spark, folder, "events").select("event_type", "ts", "event_id", "value")
     numbered = number_rows(events, ["event_type"], [F.col("ts"), F.col("event_id")], "rn")
-    totals = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("_total"))
     sub = (F.floor((F.col("rn") - 1) / 4) + 1).cast("bigint")
     rep = ((F.col("rn") - 1) % 4 + 1).cast("int")
     param = F.col("event_type")
@@ -248,8 +252,7 @@ def measures(spark: SparkSession, folder: str) -> DataFrame:
         .when((param == "view") & F.col("subgroup").between(26, 45), 6 * (F.col("subgroup") - 25))
         .when((param == "error") & F.col("subgroup").between(30, 35) & (F.col("rep") == 1), 200).otherwise(0)
     )
-    placed = numbered.join(totals, "event_type").withColumn("subgroup", sub).withColumn("rep", rep)
-    return placed.filter(F.col("subgroup") * 4 <= F.col("_total")).select(
+    return numbered.withColumn("subgroup", sub).withColumn("rep", rep).select(
         param.alias("param"), "subgroup", F.to_date("ts").alias("date"), "rep",
         (F.col("value").cast("decimal(18,2)") + special).cast("double").alias("value"),
     )
@@ -281,12 +284,13 @@ def cause_intervals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def monitoring_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """First lines of orders read as single readings."""
-    return star(spark, folder, "lineitem").filter(F.col("l_linenumber") == 1).select(
-        F.concat(F.lit("R"), F.lpad((F.col("l_suppkey") % 17).cast("string"), 2, "0")).alias("room"),
-        F.col("l_returnflag").alias("test"),
-        F.trunc(F.to_date("l_shipdate"), "month").alias("month"),
-        F.col("l_quantity").alias("value"),
+    """Order lines read as single readings; in some rooms and months they drift up or down so that limits are met."""
+    number, month = F.col("l_suppkey") % 17, F.trunc(F.to_date("l_shipdate"), "month")
+    turn = (F.year(month) * 12 + F.month(month) + number) % 9
+    drift = F.when(turn == 0, 22).when(turn == 1, -12).when(turn == 2, -18).otherwise(0)
+    return star(spark, folder, "lineitem").select(
+        F.concat(F.lit("R"), F.lpad(number.cast("string"), 2, "0")).alias("room"),
+        F.col("l_returnflag").alias("test"), month.alias("month"), (F.col("l_quantity") + drift).alias("value"),
     )
 
 
@@ -301,7 +305,7 @@ def monitoring_context(events: DataFrame) -> DataFrame:
         F.when(has_capa, F.concat_ws("-", F.lit("CAPA"), "room", "test", F.date_format("month", "yyyyMM"))).alias("capa"),
         F.when(has_capa, F.when(index % 3 == 0, "Open").otherwise("Closed")).alias("capa_status"),
         F.when(has_capa & (index % 3 != 0), 10 + index % 50).alias("days_to_close"),
-        F.when(F.col("level") != "Pass", F.concat(F.lit("Cause "), (index % 13).cast("string"))).alias("root_cause"),
+        F.when((F.col("level") != "Pass") & (index % 29 != 0), F.concat(F.lit("Cause "), (index % 13).cast("string"))).alias("root_cause"),
         F.concat(F.lit("Analyst "), (index % 5).cast("string")).alias("analyst"),
         F.concat(F.lit("Reviewer "), (index % 3).cast("string")).alias("qa_reviewer"),
     )

@@ -81,10 +81,17 @@ def test_capability_sides_and_flat_process(spark):
     assert row.cpk is None and row.c is None
 
 
+def test_short_subgroups_set_no_limits(spark):
+    params = spark.createDataFrame([("p", 4, None, 10.0, "u")], "param string, n int, lsl double, usl double, unit string")
+    full = stats(spark, [1.0, 3.0])
+    short = full.filter("subgroup = 1").withColumns({"subgroup": F.lit(3).cast("bigint"), "n": F.lit(2).cast("bigint"), "mean": F.lit(500.0)})
+    assert op.control_limits(full.unionByName(short), params).collect() == op.control_limits(full, params).collect()
+
+
 def test_other_subgroup_sizes_are_rejected(spark):
     params = spark.createDataFrame([("p", 6, None, 10.0, "u")], "param string, n int, lsl double, usl double, unit string")
     with pytest.raises(Exception, match="no chart constants"):
-        op.control_limits(stats(spark, [1.0]), params).collect()
+        op.control_limits(stats(spark, [1.0]).withColumn("n", F.lit(6)), params).collect()
 
 
 def test_histogram_edges(spark):
