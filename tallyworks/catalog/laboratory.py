@@ -10,6 +10,8 @@ from ..sources import projection as src
 from ..sources.readers import blank_to_null
 from .registry import big, davg, drate, query, rnd
 
+SAMPLE_REVIEWER = "CASE WHEN e.event_id % 83 = 0 THEN NULL WHEN e.event_id % 5 = 0 THEN e.entered ELSE e.reviewed END"
+
 _MINUTE = "MAKE_TIMESTAMP(CAST(ROUND_EVEN(EPOCH_US({0}) / 60000000, 0) AS BIGINT) * 60000000)"
 
 
@@ -65,11 +67,11 @@ res AS (
     e.event_id % 120 > CASE WHEN em THEN 72 ELSE 120 END AS "Past_Due_Date",
     COALESCE(pr.n, 'MISSING') AS "Result_Reviewer", pa.n AS "Analyst", ps.n AS "Sample_Reviewer",
     reviewed IS NULL AS "Missing_Reviewer", COALESCE(e.entered = reviewed, false) AS "Self_Reviewed",
-    COALESCE(reviewed <> CASE WHEN e.event_id % 5 = 0 THEN e.entered ELSE reviewed END, false) AS "Reviewer_Conflict",
+    reviewed IS NOT NULL AND reviewed IS DISTINCT FROM {SAMPLE_REVIEWER} AS "Reviewer_Conflict",
     {big('CASE WHEN a.event_id IS NULL THEN 0 ELSE 1 END')} AS "Audit_Corrections", a.old_value AS "Original_Entry_Before_Correction",
     i.inv_id AS "Investigation_ID", i.capa AS "CAPA_ID", {even("DATE_DIFF('second', i.opened, i.closed) / 86400", 1)} AS "Investigation_Days"
   FROM ev e LEFT JOIN people pa ON pa.u = e.entered LEFT JOIN people pr ON pr.u = e.reviewed
-  LEFT JOIN people ps ON ps.u = CASE WHEN e.event_id % 5 = 0 THEN e.entered ELSE e.reviewed END
+  LEFT JOIN people ps ON ps.u = {SAMPLE_REVIEWER}
   LEFT JOIN audit a ON a.event_id = e.event_id LEFT JOIN investigation i ON i.event_id = e.event_id
 )"""
 

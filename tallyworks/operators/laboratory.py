@@ -141,10 +141,10 @@ def turnaround(login: Column, completed: Column, due: Column, sla: float = SLA_D
 
 
 def reviewer_integrity(entered: Column, reviewed: Column, sample_reviewer: Column) -> dict[str, Column]:
-    """Missing reviewer, self review, and two recorded reviewers that differ."""
+    """Missing reviewer, self review, and a result reviewer that the sample reviewer, or its absence, does not match."""
     return {
         "Missing_Reviewer": reviewed.isNull(), "Self_Reviewed": F.coalesce(entered == reviewed, F.lit(False)),
-        "Reviewer_Conflict": F.coalesce(reviewed != sample_reviewer, F.lit(False)),
+        "Reviewer_Conflict": reviewed.isNotNull() & ~reviewed.eqNullSafe(sample_reviewer),
     }
 
 
