@@ -44,7 +44,7 @@ def write_retention_report(report: dict[str, DataFrame], path: str) -> None:
     """One CSV folder per export and one JSON document with all tables."""
     for name in RETENTION_EXPORTS:
         sinks.write_csv(report[name], f"{path}/{name}")
-    sinks.json_document(report, RETENTION_ORDER, single=("kpis",)).write.mode("overwrite").text(f"{path}/dashboard")
+    sinks.json_document(report, RETENTION_ORDER, single=("kpis",)).select("line").write.mode("overwrite").text(f"{path}/dashboard")
 
 
 def laboratory_report(raw: dict[str, DataFrame], store: str) -> dict[str, DataFrame]:

@@ -8,8 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import with_global_order
 from ..session import durable, scratch_path  # noqa: F401 - scratch_path is part of this module's interface
 
+_END = (1 << 63) - 1
+
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Replace the stored table at ``path`` and continue from what was written."""
@@ -56,27 +59,29 @@ def write_json_records(tables: Mapping[str, DataFrame], path: str) -> None:
 
 def json_document(
     tables: Mapping[str, DataFrame], order: Mapping[str, list[str]] | None = None, single: tuple[str, ...] = (),
-    max_rows: int = 100_000,
 ) -> DataFrame:
-    """One row, one JSON document holding report tables as lists of records; ``single`` ones as an object.
+    """(table, record, line): the lines of one JSON document that holds tables as lists of records, in order.
 
-    ``order`` holds SQL sort expressions per table. A document is for report tables. A table with more than ``max_rows`` rows fails the
-    query instead of being gathered or cut short; write those with ``write_json_records``.
+    ``single`` tables are one object, or null without a row. ``order`` holds SQL sort expressions per table; rows that
+    are equal in them are ordered by their text. Lines are numbered in range slices and sorted by ranges, so tables of
+    any size pass through many tasks; written as text, the parts in name order are the document.
     """
     order = order or {}
-    parts = {}
-    for name, df in tables.items():
-        keys = [F.expr(c) for c in order.get(name, [])]
-        rows = df.agg(F.count(F.lit(1))).scalar()
-        ready = plain(df.filter(F.when(rows <= max_rows, True).otherwise(
-            F.raise_error(F.lit(f"{name} is too large for a JSON document")).cast("boolean"))))
-        record = F.struct(*[F.col(f"`{c}`") for c in ready.columns])
-        ranked = F.sort_array(F.collect_list(F.struct(F.struct(*keys, F.lit(0)).alias("k"), record.alias("r"))))
-        listed = F.transform(ranked, lambda e: e["r"])
-        parts[name] = ready.agg((listed[0] if name in single else listed).alias("v")).scalar().alias(name)
     spark = next(iter(tables.values())).sparkSession
-    return spark.range(1).select(*parts.values()).select(
-        F.to_json(F.struct(*[F.col(n) for n in parts]), {"ignoreNullFields": "false"}).alias("document"))
+    lines = []
+    for number, (name, df) in enumerate(tables.items()):
+        last = number == len(tables) - 1
+        one, opens = name in single, ("{" if number == 0 else "") + f'"{name}":'
+        ready = plain(df)
+        rows = ready.select(*[F.expr(c).alias(f"k{i}") for i, c in enumerate(order.get(name, []))], record_text(ready).alias("text"))
+        keys = [F.col(f"k{i}") for i in range(len(rows.columns) - 1)] or [F.col("text")]
+        placed = with_global_order(rows, keys, [F.col("text")], "at", total="of")
+        comma = F.when(F.col("at") < F.col("of"), ",").otherwise("")
+        lines.append(placed.select(F.lit(number).alias("table"), F.col("at").cast("bigint").alias("record"), F.concat("text", comma).alias("line")))
+        closes = ("null" if one and not ready.limit(1).count() else "") + ("" if one else "]") + ("}" if last else ",")
+        lines.append(spark.range(1).select(F.lit(number).alias("table"), F.lit(0).cast("bigint").alias("record"), F.lit(opens + ("" if one else "[")).alias("line")))
+        lines.append(spark.range(1).select(F.lit(number).alias("table"), F.lit(_END).alias("record"), F.lit(closes).alias("line")))
+    return reduce(DataFrame.unionByName, lines).orderBy("table", "record")
 
 
 def fixed_text(value: Column, places: int) -> Column:
