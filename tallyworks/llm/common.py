@@ -108,6 +108,18 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             size += n or 0
 
 
+def bounded_sample(docs: DataFrame, labels: DataFrame, label: Column, rows: int) -> DataFrame:
+    """(doc_id, label, text) of at most ``rows`` labelled documents, taken in hash order of doc_id.
+
+    The ids are chosen from labels (doc_id, label) alone, so that only the chosen texts move; being bounded, they
+    are broadcast. ``label`` decides between several labels of an id, the smallest text between several rows.
+    """
+    known = labels.filter("label is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(label.cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "component") -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node reachable.
 

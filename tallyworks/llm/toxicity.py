@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNICODE, WordHasher, chunks, mix, text_column
+from .common import UNICODE, WordHasher, bounded_sample, chunks, mix, text_column
 
 
 @dataclass(frozen=True)
@@ -104,8 +104,7 @@ def fit(rows: list[tuple[np.ndarray, int]], params: FtrlParams) -> Weights:
 
 def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams()) -> Weights:
     """Weights from labels (doc_id, label); rows are taken in hash order up to params.sample. Without labels all are 0."""
-    known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    some = docs.select("doc_id", text_column().alias("text")).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(params.sample)
+    some = bounded_sample(docs, labels, F.max("label"), params.sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -113,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
             offsets = np.searchsorted(at, np.arange(len(texts) + 1))
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(code.astype(np.int32)))], names=["doc_id", "label", "x"])
 
-    got = some.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text").mapInArrow(run, "doc_id long, label int, x array<int>").toArrow()
+    got = some.mapInArrow(run, "doc_id long, label int, x array<int>").toArrow()
     order = np.argsort(mix(np.asarray(got["doc_id"]).astype(np.uint64)), kind="stable")
     x, y = got["x"].combine_chunks(), got["label"].to_pylist()
     return fit([(np.asarray(x[int(i)].values), y[i]) for i in order], params)
