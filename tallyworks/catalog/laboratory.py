@@ -123,16 +123,16 @@ def _raw(spark, folder):
 
 
 def _model(spark, folder, stored=False):
-    return op.laboratory_model(_raw(spark, folder), keep=durable if stored else None)
+    return op.laboratory_model(_raw(spark, folder), keep=_counted if stored else None)
 
 
 def _results(spark, folder):
     return op.result_fact(op.clean_tables(_raw(spark, folder)))
 
 
-def _stored_results(spark, folder):
-    """The fact table written once, for the queries that read it several times."""
-    return durable(_results(spark, folder))
+def _counted(results):
+    """The columns that the reports count, written once."""
+    return durable(results.select(*op.COUNTED))
 
 
 @query("L1_blank_to_null", "SELECT event_id, NULLIF(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, '') AS kind, props FROM events")
@@ -292,26 +292,28 @@ x AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE "Missing_Reviewer") AS miss,
                + COUNT(*) FILTER (WHERE "Instrument" = 'Not Recorded') AS blanks FROM res),
 sp AS (SELECT COUNT(*) FILTER (WHERE action = 5) AS located, COUNT(*) FILTER (WHERE et = 'e' AND action = 12) AS unused
        FROM (SELECT DISTINCT CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type ELSE 'e' END AS et, action FROM ev))
-SELECT {big(1)} AS step, 'Duplicates' AS category, 'RESULT' AS "table", 'Removed exact duplicate rows' AS action, (SELECT COUNT(*) FROM events WHERE event_id % 1000 = 0) AS rows_affected
-UNION ALL SELECT 2, 'Formatting', 'All', 'Rounded timestamps to the minute', n * 6 FROM x
-UNION ALL SELECT 3, 'Modeling', 'Results', 'Joined the source tables into one row per result', n FROM x
-UNION ALL SELECT 4, 'Dropped columns', 'TEST / INVESTIGATION', 'Removed empty columns', n + (SELECT COUNT(*) FROM investigation) FROM x
-UNION ALL SELECT 5, 'Decoding', 'Results', 'Replaced codes with labels', n FROM x
-UNION ALL SELECT 6, 'Nulls', 'Results', 'Labelled structural blanks', blanks FROM x
-UNION ALL SELECT 7, 'Derived fields', 'Results', 'Added analysis fields', n FROM x
-UNION ALL SELECT 8, 'Flagged - not changed', 'Results', 'No result reviewer', miss FROM x
-UNION ALL SELECT 9, 'Flagged - not changed', 'Results', 'Reviewed by the analyst who entered the result', self FROM x
-UNION ALL SELECT 10, 'Flagged - not changed', 'Results', 'Sample and result reviewer differ', conflict FROM x
-UNION ALL SELECT 11, 'Flagged - not changed', 'Results', 'Completed after the due date', late FROM x
-UNION ALL SELECT 12, 'Flagged - not changed', 'Audit_Trail', 'Corrected a negative value', (SELECT COUNT(*) FROM audit WHERE old_value < 0)
-UNION ALL SELECT 13, 'Nulls', 'Lots', 'Labelled blank dispositions', (SELECT COUNT(*) FROM lots WHERE "Disposition" = 'NOT RELEASED')
-UNION ALL SELECT 14, 'Flagged - not changed', 'Lots', 'No test samples', (SELECT COUNT(*) FROM lots WHERE "Samples_Tested" = 0)
-UNION ALL SELECT 15, 'Renaming', 'Specs', 'Renamed the column that holds locations', located FROM sp
-UNION ALL SELECT 16, 'Flagged - not changed', 'Specs', 'Specification not in use', unused FROM sp
-UNION ALL SELECT 17, 'Flagged - not changed', 'Instruments', 'No results linked', (SELECT COUNT(*) FROM ins WHERE name NOT IN (SELECT "Instrument" FROM res))""")
+SELECT {big(1)} AS step, 'Scope' AS category, 'Model' AS "table", 'Left out tables without source data' AS action, {big(4)} AS rows_affected
+UNION ALL SELECT 2, 'Duplicates', 'RESULT', 'Removed exact duplicate rows', (SELECT COUNT(*) FROM events WHERE event_id % 1000 = 0)
+UNION ALL SELECT 3, 'Formatting', 'All', 'Rounded timestamps to the minute', n * 6 FROM x
+UNION ALL SELECT 4, 'Modeling', 'Results', 'Joined the source tables into one row per result', n FROM x
+UNION ALL SELECT 5, 'Dropped columns', 'SAMPLE / TEST / RESULT', 'Removed constant and copied columns', n FROM x
+UNION ALL SELECT 6, 'Dropped columns', 'TEST / INVESTIGATION', 'Removed empty columns', n + (SELECT COUNT(*) FROM investigation) FROM x
+UNION ALL SELECT 7, 'Decoding', 'Results', 'Replaced codes with labels', n FROM x
+UNION ALL SELECT 8, 'Nulls', 'Results', 'Labelled structural blanks', blanks FROM x
+UNION ALL SELECT 9, 'Derived fields', 'Results', 'Added analysis fields', n FROM x
+UNION ALL SELECT 10, 'Flagged - not changed', 'Results', 'No result reviewer', miss FROM x
+UNION ALL SELECT 11, 'Flagged - not changed', 'Results', 'Reviewed by the analyst who entered the result', self FROM x
+UNION ALL SELECT 12, 'Flagged - not changed', 'Results', 'Sample and result reviewer differ', conflict FROM x
+UNION ALL SELECT 13, 'Flagged - not changed', 'Results', 'Completed after the due date', late FROM x
+UNION ALL SELECT 14, 'Flagged - not changed', 'Audit_Trail', 'Corrected a negative value', (SELECT COUNT(*) FROM audit WHERE old_value < 0)
+UNION ALL SELECT 15, 'Nulls', 'Lots', 'Labelled blank dispositions', (SELECT COUNT(*) FROM lots WHERE "Disposition" = 'NOT RELEASED')
+UNION ALL SELECT 16, 'Flagged - not changed', 'Lots', 'No test samples', (SELECT COUNT(*) FROM lots WHERE "Samples_Tested" = 0)
+UNION ALL SELECT 17, 'Renaming', 'Specs', 'Renamed the column that holds locations', located FROM sp
+UNION ALL SELECT 18, 'Flagged - not changed', 'Specs', 'Specification not in use', unused FROM sp
+UNION ALL SELECT 19, 'Flagged - not changed', 'Instruments', 'No results linked', (SELECT COUNT(*) FROM ins WHERE name NOT IN (SELECT "Instrument" FROM res))""")
 def cleaning_log(spark, folder):
     raw = _raw(spark, folder)
-    return op.cleaning_log(raw, op.laboratory_model(raw, keep=durable))
+    return op.cleaning_log(raw, op.laboratory_model(raw, keep=_counted), left_out=4)
 
 
 def _share(part: str, whole: str) -> str:
@@ -351,9 +353,39 @@ def data_dictionary(spark, folder):
     return op.data_dictionary({name: model[name] for name in ("Audit_Trail", "Users")})
 
 
-@query("L22_data_dictionary_all")
+def _described(table: str, source: str) -> str:
+    """Fields, types and filled values of a relation; types are read off the relation itself."""
+    return f"""SELECT '{table}' AS "table", f.field, CASE WHEN t.kind = 'BOOLEAN' THEN 'TRUE/FALSE' WHEN t.kind IN ('DATE', 'TIMESTAMP') THEN 'Date/Time'
+  WHEN t.kind IN ('INTEGER', 'BIGINT') THEN 'Whole number' WHEN t.kind = 'DOUBLE' THEN 'Decimal' ELSE 'Text' END AS type,
+  COALESCE((SELECT d.text FROM described d WHERE d.field = f.field AND '{table}' = 'Results'), '') AS description, f.filled
+FROM (UNPIVOT (SELECT COUNT(COLUMNS('(.*)')) AS "\\1" FROM {source}) ON COLUMNS(*) INTO NAME field VALUE filled) f
+JOIN (UNPIVOT (SELECT TYPEOF(ANY_VALUE(COLUMNS('(.*)'))) AS "\\1" FROM {source}) ON COLUMNS(*) INTO NAME field VALUE kind) t ON t.field = f.field"""
+
+
+_TEXTS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in op.DESCRIPTIONS.items())
+_SPEC_FIELDS = """specs_out AS (
+  SELECT CAST(ASCII(name) * 100 + action AS BIGINT) AS "Spec_ID", CASE WHEN name IN ('BIOBURDEN_USP61', 'LAL_KINETIC') THEN 'P0' ELSE 'N/A (EM)' END AS "Product",
+         CASE action WHEN 5 THEN 'Grade A (ISO 5)' ELSE 'N/A' END AS "Grade", CASE action WHEN 5 THEN 'CR-100' ELSE 'N/A' END AS "Location", code AS "Analysis_Code",
+         'ACTION' AS "Limit_Type", CAST(0 AS DOUBLE) AS "Min_Value", action AS "Max_Value", code AS "Analysis", code <> 'WATER_BIOBURDEN' AS "In_Use" FROM specs
+)"""
+_PEOPLE_FIELDS = """users_out AS (SELECT u AS "Username", n AS "Full_Name" FROM people)"""
+_ALL_TABLES = (("Results", "res"), ("Lots", "lots"), ("Investigations", "inv"), ("Audit_Trail", "aud"), ("Specs", "specs_out"), ("Instruments", "ins"), ("Users", "users_out"))
+
+
+def _after(sql: str, base: str) -> str:
+    """What a chain of relations adds to the one it starts with."""
+    return sql.removeprefix(base)
+
+
+_ALL = RES + "".join(_after(x, RES) for x in (LOTS, INV, AUDIT, INSTR)) + _after(SPECS, EV) + f""",
+{_SPEC_FIELDS},
+{_PEOPLE_FIELDS},
+described(field, text) AS (VALUES {_TEXTS})"""
+
+
+@query("L22_data_dictionary_all", f"WITH {_ALL} " + " UNION ALL ".join(_described(t, c) for t, c in _ALL_TABLES))
 def data_dictionary_all(spark, folder):
-    return op.data_dictionary(_model(spark, folder, stored=True))
+    return op.data_dictionary(op.laboratory_model(_raw(spark, folder), keep=durable))
 
 
 _DIM = " UNION ".join(f"""SELECT '{d}' AS dim, "{d}" AS value FROM res""" for d in op.DIMS)
@@ -376,7 +408,7 @@ SELECT "Result_ID" AS id, {even("DATE_DIFF('second', (SELECT DATE_TRUNC('day', M
        {big(_BITS + ' + CASE WHEN "Audit_Corrections" > 0 THEN 128 ELSE 0 END')} AS flags, "TAT_Days" AS tat
 FROM res r""")
 def dictionary_encode(spark, folder):
-    results = _stored_results(spark, folder)
+    results = durable(_results(spark, folder).select("Result_ID", "Login_Date", "Result", "Alert_Limit", "Action_Limit", "TAT_Days", "Audit_Corrections", *op.DIMS, *op.FLAGS))
     return op.dictionary_encode(results, op.dimension_values(results))
 
 
@@ -393,24 +425,31 @@ def grade_of_location(spark, folder):
 
 def _profile_sql(column: str) -> str:
     return f"""SELECT '{column}' AS "column", COUNT(*) AS rows, COUNT(*) - COUNT({column}) AS nulls, COUNT(DISTINCT {column}) AS "distinct",
-COUNT(*) FILTER (WHERE CAST({column} AS VARCHAR) <> TRIM(CAST({column} AS VARCHAR))) AS padded, MIN(CAST({column} AS VARCHAR)) AS low,
-MAX(CAST({column} AS VARCHAR)) AS high, COUNT(DISTINCT {column}) = 1 AS one_value FROM t"""
+COUNT(*) FILTER (WHERE CAST({column} AS VARCHAR) <> TRIM(CAST({column} AS VARCHAR))) AS padded, CAST(MIN({column}) AS VARCHAR) AS low,
+CAST(MAX({column}) AS VARCHAR) AS high, COUNT(DISTINCT {column}) = 1 AS one_value FROM t"""
 
 
-_PROFILED = ("event_id", "event_type", "user_id", "props", "pad", "gap", "k")
+_PROFILED = ("event_id", "event_type", "user_id", "props", "pad", "gap", "k", "day")
 
 
 @query("L25_column_profile", f"""WITH t AS (SELECT event_id, event_type, user_id, props, CASE WHEN event_id % 4 = 0 THEN ' x' ELSE event_type END AS pad,
-CASE WHEN event_id % 5 <> 0 THEN user_id END AS gap, 'same' AS k FROM events)
+CASE WHEN event_id % 5 <> 0 THEN user_id END AS gap, 'same' AS k, CAST(ts AS DATE) AS day FROM events)
 {' UNION ALL '.join(_profile_sql(c) for c in _PROFILED)}""")
 def column_profile(spark, folder):
     events = src.star(spark, folder, "events").select(
         "event_id", "event_type", "user_id", "props",
         F.when(F.col("event_id") % 4 == 0, " x").otherwise(F.col("event_type")).alias("pad"),
-        F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("gap"), F.lit("same").alias("k"))
+        F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("gap"), F.lit("same").alias("k"), F.to_date("ts").alias("day"))
     return op.column_profile(events)
 
 
+@query("L25_date_order", f"""WITH {RES}
+SELECT 'Login_Date' AS earlier, 'Date_Completed' AS later, COUNT(*) AS compared, COUNT(*) FILTER (WHERE "Date_Completed" < "Login_Date") AS reversed FROM res
+UNION ALL SELECT 'Date_Completed', 'Due_Date', COUNT(*), COUNT(*) FILTER (WHERE "Due_Date" < "Date_Completed") FROM res""")
+def date_order(spark, folder):
+    return op.date_order(_results(spark, folder), [("Login_Date", "Date_Completed"), ("Date_Completed", "Due_Date")])
+
+
 @query("L26_dead_columns", """WITH n AS (SELECT COUNT(*) AS n FROM events)
 SELECT 'STATUS' AS "column", 'constant' AS reason, CAST(NULL AS VARCHAR) AS other FROM n WHERE n > 0
 UNION ALL SELECT 'RETEST_OF', 'empty', NULL UNION ALL SELECT 'TEXT_ID', 'copy', 'event_id' UNION ALL SELECT 'LOGIN_BY', 'copy', 'user_id'""")

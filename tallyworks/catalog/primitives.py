@@ -52,17 +52,22 @@ def load_row_audit(spark, folder):
     return readers.row_counts(readers.read_tables(spark, folder, ("orders", "customer", "lineitem")))
 
 
-@query("S3_json_scan", f"WITH {dev_sql.DEVS} SELECT area, COUNT(*) AS n, COUNT(closed) AS closed, MIN(opened) AS first_opened, MAX(capa_closed) AS last_closed FROM devs GROUP BY 1")
+@query("S3_json_scan", f"WITH {dev_sql.DEVS} SELECT area, 'Area ' || area AS area_name, cause, 'Cause ' || cause AS cause_name, COUNT(*) AS n, COUNT(closed) AS closed, MIN(opened) AS first_opened, MAX(capa_closed) AS last_closed FROM devs GROUP BY ALL")
 def json_scan(spark, folder):
     text = src.deviations(spark, folder).select(
         *[F.col(c).cast("string").alias(c) for c in ("id", "opened", "area", "asset", "sev", "cause", "owner", "closed", "capa")],
         F.col("capa_closed").cast("string").alias("capaClosed"))
     # Documents of at most 500 records: ids are unique, so no group grows with the table.
     path = sinks.scratch_path(spark, "json")
-    text.groupBy(F.floor(F.col("id").cast("bigint") / 500).alias("part")).agg(F.collect_list(F.struct(*text.columns)).alias("recs")).select(
-        "recs", F.lit(src.DEVIATION_ASOF).alias("asof")).write.json(path)
-    records, _ = readers.deviations_from_json(spark, path, multi_line=False)
-    return records.groupBy("area").agg(
+    named = lambda c, value: F.map_from_entries(F.collect_set(F.struct(F.col(c), value)))
+    area_name, cause_name = F.concat(F.lit("Area "), "area"), F.array(F.concat(F.lit("Cause "), "cause"), F.lit("process"))
+    text.groupBy(F.floor(F.col("id").cast("bigint") / 500).alias("part")).agg(
+        F.collect_list(F.struct(*text.columns)).alias("recs"), named("area", area_name).alias("areas"), named("cause", cause_name).alias("causes"),
+    ).select("recs", "areas", "causes", F.lit(src.DEVIATION_ASOF).alias("asof")).write.json(path)
+    records, documents = readers.deviations_from_json(spark, path, multi_line=False)
+    areas = documents.select(F.explode("areas").alias("area", "area_name")).distinct()
+    causes = documents.select(F.explode("causes").alias("cause", "texts")).select("cause", F.get("texts", F.lit(0)).alias("cause_name")).distinct()
+    return records.join(areas, "area").join(causes, "cause").groupBy("area", "area_name", "cause", "cause_name").agg(
         one().alias("n"), F.count("closed").alias("closed"), F.min("opened").alias("first_opened"), F.max("capa_closed").alias("last_closed"))
 
 

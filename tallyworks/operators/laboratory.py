@@ -41,13 +41,29 @@ TIME_COLUMNS = {
     "INVESTIGATION": ("OPENED", "CLOSED"), "AUDIT_TRAIL": ("CHANGED_ON",),
 }
 DESCRIPTIONS = {
-    "Result_ID": "Unique result number", "Sample_ID": "Sample number", "Test_ID": "Test number",
-    "Login_Month": "First day of the login month", "Result_Status": "OOS / Action, Alert or Within Limits",
-    "Pct_of_Action_Limit": "Result divided by the action limit", "TAT_Days": "Days from login to completion",
+    "Result_ID": "Number of the result, unique", "Sample_ID": "Number of the sample", "Test_ID": "Number of the test",
+    "Login_Date": "Time the sample was registered", "Login_Month": "First day of the month of registration",
+    "Due_Date": "Time the sample is due", "Date_Completed": "Time the test was finished", "Date_Reviewed": "Time of the review",
+    "Sample_Category": "Monitoring of rooms, or release of products", "Sample_Type": "Kind of sample as a label",
+    "Analysis": "Name of the test", "Analysis_Code": "Code of the test in the source", "Location": "Room or laboratory",
+    "Cleanroom_Grade": "Grade of the room with its ISO class", "Sampling_Point": "Place inside the room",
+    "Product": "Product of a release sample", "Lot": "Lot of a release sample", "Instrument": "Instrument, where one is recorded",
+    "Result": "Measured value; only values of one analysis have a common unit", "Units": "Unit of the value",
+    "Alert_Limit": "Value from which a result is an alert", "Action_Limit": "Value from which a result is out of specification",
+    "Pct_of_Action_Limit": "Result divided by the action limit", "Result_Status": "OOS / Action, Alert or Within Limits",
+    "Is_OOS": "The action limit is reached", "Is_Alert": "The alert limit is reached, the action limit is not",
+    "Is_OOT": "Trend flag of the source", "Is_Zero_Count": "Nothing was counted", "TAT_Days": "Days from login to completion",
     "TAT_Breach_4d_SLA": "Turnaround above the service level", "Past_Due_Date": "Completed after the due date",
-    "Self_Reviewed": "Entered and reviewed by the same person", "Missing_Reviewer": "No reviewer recorded",
-    "Audit_Corrections": "Number of audit trail changes",
+    "Analyst": "Person who entered the result", "Result_Reviewer": "Person who reviewed the result, MISSING without one",
+    "Sample_Reviewer": "Person who reviewed the sample", "Missing_Reviewer": "No reviewer recorded",
+    "Self_Reviewed": "Entered and reviewed by the same person", "Reviewer_Conflict": "The sample's reviewer is not the result's",
+    "Audit_Corrections": "Number of audit trail changes", "Original_Entry_Before_Correction": "Value before the first change",
+    "Investigation_ID": "Investigation of the result", "CAPA_ID": "Corrective action of the investigation",
+    "Investigation_Days": "Days from opening to closing the investigation",
 }
+# Result columns that the log and the summary count, and those the tables they count are built from.
+COUNTED = ("Result_ID", "Sample_ID", "Login_Date", "Date_Completed", "Location", "Cleanroom_Grade", "Analysis", "Result", "Action_Limit",
+           "Units", "Lot", "Instrument", "TAT_Days", "Reviewer_Conflict", *FLAGS)
 
 
 # ----------------------------------------------------------------- cleaning
@@ -321,8 +337,11 @@ def laboratory_model(
 # -------------------------------------------------------- log and summaries
 
 
-def cleaning_log(raw: dict[str, DataFrame], model: dict[str, DataFrame]) -> DataFrame:
-    """(step, category, table, action, rows_affected) of every cleaning step, counted in one aggregate per table."""
+def cleaning_log(raw: dict[str, DataFrame], model: dict[str, DataFrame], left_out: int = 0) -> DataFrame:
+    """(step, category, table, action, rows_affected) of every cleaning step, counted in one aggregate per table.
+
+    ``left_out`` is the number of tables of the source that hold no source data.
+    """
     one = F.count(F.lit(1))
     blank = lambda c: count_where(F.col(c).isNull())
     sample = raw["SAMPLE"].agg((one * len(TIME_COLUMNS["SAMPLE"])).alias("a"), (blank("PRODUCT") + blank("SAMPLING_POINT")).alias("b"))
@@ -336,14 +355,17 @@ def cleaning_log(raw: dict[str, DataFrame], model: dict[str, DataFrame]) -> Data
     untested = model["Lots"].agg(count_where(F.col("Samples_Tested") == 0).alias("a"))
     specs = raw["PRODUCT_SPEC"].agg(F.count("SAMPLING_POINT").alias("a"), count_where(F.col("ANALYSIS") == UNUSED_ANALYSIS).alias("b"))
     idle = model["Instruments"].agg(count_where(F.col("Results_Recorded") == 0).alias("a"))
+    scope = raw["RESULT"].sparkSession.range(1).select(F.lit(left_out).alias("a"))
     duplicates = duplicates_removed(raw["RESULT"]).select(F.col("removed").alias("a"))
     # Blanks of the fact table sit in two source tables, so their counts are added.
     blanks = sample.select("b").withColumn("t", test.select("b").scalar()).select((F.col("b") + F.col("t")).alias("a"))
     dropped = test.select("a").withColumn("i", inv.scalar()).select((F.col("a") + F.col("i")).alias("a"))
     steps: list[tuple[str, str, str, DataFrame, str]] = [
+        ("Scope", "Model", "Left out tables without source data", scope, "a"),
         ("Duplicates", "RESULT", "Removed exact duplicate rows", duplicates, "a"),
         ("Formatting", "All", "Rounded timestamps to the minute", sample, "a"),
         ("Modeling", "Results", "Joined the source tables into one row per result", results, "a"),
+        ("Dropped columns", "SAMPLE / TEST / RESULT", "Removed constant and copied columns", results, "a"),
         ("Dropped columns", "TEST / INVESTIGATION", "Removed empty columns", dropped, "a"),
         ("Decoding", "Results", "Replaced codes with labels", results, "a"),
         ("Nulls", "Results", "Labelled structural blanks", blanks, "a"),
@@ -455,20 +477,33 @@ def group_first(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """One row per column: rows, nulls, exact distinct values, values with outer blanks, range as text.
+    """One row per column: rows, nulls, exact distinct values, values with outer blanks, range, whether one value only.
 
-    Values are counted as (column, value) pairs, which combine before the shuffle, so
-    a value that fills a third of a column costs one row per task.
+    Ranges are those of the column's type, numbers by size and dates by time, and are given as text. All but the
+    distinct counts come from one aggregate that moves no values; those are counted on (column, value) pairs, which
+    combine before the shuffle, so that a value that fills a third of a column costs one row per task.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
-    counted = df.select(F.explode(pairs).alias("e")).select("e.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    padded = F.col("value") != F.trim("value")
-    return counted.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count("value").alias("distinct"), F.coalesce(F.sum(F.when(padded, F.col("n"))), F.lit(0)).alias("padded"),
-        F.min("value").alias("low"), F.max("value").alias("high"),
-        (F.count("value") == 1).alias("one_value"),
-    )
+    name = lambda c: F.col(f"`{c}`")
+    text = lambda c: name(c).cast("string")
+    entry = [F.struct(
+        F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), count_where(name(c).isNull()).alias("nulls"),
+        count_where(text(c) != F.trim(text(c))).alias("padded"), F.min(name(c)).cast("string").alias("low"),
+        F.max(name(c)).cast("string").alias("high"),
+        F.coalesce(F.min(name(c)) == F.max(name(c)), F.lit(False)).alias("one_value")).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    wide = df.agg(*entry).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(df.columns))])).alias("e")).select("e.*")
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("value")) for i, c in enumerate(df.columns)])
+    names = F.array(*map(F.lit, df.columns))
+    distinct = df.select(F.explode(pairs).alias("e")).select("e.*").filter("value is not null").distinct().groupBy("i").agg(
+        F.count(F.lit(1)).alias("distinct")).select(F.get(names, F.col("i")).alias("column"), "distinct")
+    return wide.join(distinct, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+
+
+def date_order(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(earlier, later, compared, reversed): rows in which a time that should come later comes first."""
+    entry = [F.struct(
+        F.lit(a).alias("earlier"), F.lit(b).alias("later"), count_where(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("compared"),
+        count_where(F.col(b) < F.col(a)).alias("reversed")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    return df.agg(*entry).select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("e")).select("e.*")
 
 
 def dead_columns(df: DataFrame) -> DataFrame:
