@@ -20,8 +20,19 @@ from ..session import durable
 _SLICE = "_slice"
 
 
-def _slice_count(df: DataFrame, slices: int | None) -> int:
-    return slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+# Rows a slice holds at most, so that the work of a task does not grow with the table.
+SLICE_ROWS = 2_000_000
+
+
+def _planned(df: DataFrame, slices: int | None) -> tuple[DataFrame, int]:
+    """The rows, stored so that they are computed once, and the number of slices they need.
+
+    The stored count is read from file footers; sampling the range bounds then reads the ordering columns only.
+    """
+    if slices:
+        return df, slices
+    stored = durable(df)
+    return stored, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored.count() // SLICE_ROWS))
 
 
 def number_rows(
@@ -38,7 +49,8 @@ def number_rows(
     first row of the key.
     """
     firsts = firsts or {}
-    ranged = df.repartitionByRange(_slice_count(df, slices), *[F.col(k) for k in keys], *order)
+    df, slices = _planned(df, slices)
+    ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
     cut = durable(ranged.withColumn(_SLICE, F.spark_partition_id()))
     per_slice = cut.groupBy(_SLICE, *keys).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -79,7 +91,8 @@ def with_global_order(
     Slices are stored in sorted order with the row index of each row, so a position needs
     no further exchange: the index plus what the earlier slices hold.
     """
-    ranged = df.repartitionByRange(_slice_count(df, slices), *order, *ties).sortWithinPartitions(*order, *ties)
+    df, slices = _planned(df, slices)
+    ranged = df.repartitionByRange(slices, *order, *ties).sortWithinPartitions(*order, *ties)
     cut = durable(ranged.withColumns({_SLICE: F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     sizes = cut.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("_n"))
     steps = Window.orderBy(_SLICE)

@@ -74,26 +74,38 @@ def category_names(products: DataFrame, translation: DataFrame) -> DataFrame:
 ITEM_TOTALS = ("items", "item_value", "freight_value", "gmv", "sellers")
 
 
-def item_totals(items: DataFrame) -> DataFrame:
-    """Counts and values per order; everything stays in hash aggregation."""
+def _totals() -> list[Column]:
     price, freight = F.col("price"), F.col("freight_value")
     reading = lambda c: c.cast("decimal(30,12)")  # noqa: E731 - their sum keeps all 12 digits
-    return items.groupBy("order_id").agg(
+    return [
         F.count(F.lit(1)).alias("items"), exact_sum(price).cast("double").alias("item_value"),
         exact_sum(freight).cast("double").alias("freight_value"), exact_sum(reading(price) + reading(freight)).cast("double").alias("gmv"),
         F.count_distinct("seller_id").alias("sellers"),
-    )
+    ]
+
+
+def item_totals(items: DataFrame) -> DataFrame:
+    """Counts and values per order; everything stays in hash aggregation."""
+    return items.groupBy("order_id").agg(*_totals())
 
 
-def main_items(items: DataFrame, ties: tuple[str, ...] = ("order_item_id",)) -> DataFrame:
-    """Product and seller of the highest-priced item of every order."""
+def _dearest(ties: tuple[str, ...]) -> Column:
     price = F.col("price")
     best = F.struct(
         price.isNull().alias("unpriced"), (-price).alias("falling"),
         *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)], F.col("product_id").alias("p"), F.col("seller_id").alias("s"),
     )
-    return items.groupBy("order_id").agg(F.min(best).alias("m")).select(
-        "order_id", F.col("m.p").alias("product_id"), F.col("m.s").alias("main_seller_id"))
+    return F.min(best).alias("m")
+
+
+def main_items(items: DataFrame, ties: tuple[str, ...] = ("order_item_id",), totals: bool = False) -> DataFrame:
+    """Product and seller of the highest-priced item of every order, with ``totals`` the counts and values too.
+
+    Both come from one pass over the items and one exchange of them.
+    """
+    named = items.groupBy("order_id").agg(*(_totals() if totals else []), _dearest(ties))
+    return named.select(
+        "order_id", *(ITEM_TOTALS if totals else []), F.col("m.p").alias("product_id"), F.col("m.s").alias("main_seller_id"))
 
 
 def with_category(mains: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
@@ -106,8 +118,8 @@ def order_items_agg(
     items: DataFrame, products: DataFrame, translation: DataFrame, ties: tuple[str, ...] = ("order_item_id",)
 ) -> DataFrame:
     """Totals per order with the category and seller of its highest-priced item."""
-    mains = with_category(main_items(items, ties), products, translation)
-    return item_totals(items).join(mains, "order_id").select("order_id", *ITEM_TOTALS, "main_category", "main_seller_id")
+    whole = with_category(main_items(items, ties, totals=True), products, translation)
+    return whole.select("order_id", *ITEM_TOTALS, "main_category", "main_seller_id")
 
 
 def order_fact(
@@ -162,10 +174,11 @@ def build_facts(
     """
     need = set(columns if columns is not None else (*ITEM_TOTALS, "main_category", "main_seller_state", "review_score"))
     parts = []
-    if need & set(ITEM_TOTALS):
+    totals = bool(need & set(ITEM_TOTALS))
+    if totals and not need & {"main_category", "main_seller_state"}:
         parts.append(item_totals(t["order_items"]))
     if need & {"main_category", "main_seller_state"}:
-        mains = main_items(t["order_items"], item_ties)
+        mains = main_items(t["order_items"], item_ties, totals)
         parts.append(with_category(mains, t["products"], t["category_translation"]) if "main_category" in need else mains)
     if "review_score" in need:
         parts.append(review_latest(t["order_reviews"]).select("order_id", "review_score"))
