@@ -22,6 +22,7 @@ HEADLINE = (
     "R14_repeat_by_first", "R17_rfm_customers", "Z2_significance", "D_register", "D10_dev_kpis", "D13_closeout_trend",
     "D15_repeat_pairs", "L7_result_fact", "L20_cleaning_log", "L23_dictionary_encode", "L25_column_profile",
     "P2_control_limits", "P9_rule_subset", "P13_signal_log", "E2_em_classify", "Q3_repeat_excursions", "W4_global_ntile",
+    "S9_compact_export", "W5_percent_rank", "L21_quality_summary", "L22_data_dictionary_all", "R15_repeat_by_category",
 )
 
 

@@ -41,18 +41,25 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return configure(spark)
 
 
+def _named_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def _is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, and so share local folders."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable folder named by spark.checkpoint.dir, or a scratch one in local mode."""
+    """The shared folder named by spark.checkpoint.dir, or a scratch one where all is one process."""
+    named = _named_folder(spark)
+    if named:
+        return named
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not context.master.startswith("local"):
+    if not context.getCheckpointDir():
+        if not _is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="tallyworks-checkpoint-")
-    context.setCheckpointDir(named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyworks-checkpoint-"))
     return context.getCheckpointDir()
 
 
