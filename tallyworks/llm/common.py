@@ -108,6 +108,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             size += n or 0
 
 
+def hash_sample(df: DataFrame, code: Column, tie: str, rows: int) -> DataFrame:
+    """At most ``rows`` distinct rows, those with the smallest codes of a share of the codes that holds them.
+
+    The share, four times what is asked for, is cut off before anything moves, so that tasks pass on few rows each,
+    however many tasks there are.
+    """
+    share = min(1.0, 4 * rows / max(1, df.count()))
+    return df.filter(code.bitwiseAND(F.lit((1 << 40) - 1)) <= int(share * (1 << 40))).distinct().orderBy(code, tie).limit(rows)
+
+
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: Column, rows: int) -> DataFrame:
     """(doc_id, label, text) of at most ``rows`` labelled documents, taken in hash order of doc_id.
 
@@ -115,7 +125,7 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: Column, rows: int)
     are broadcast. ``label`` decides between several labels of an id, the smallest text between several rows.
     """
     known = labels.filter("label is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(label.cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = hash_sample(known, F.xxhash64("doc_id"), "doc_id", rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).join(F.broadcast(chosen), "doc_id")
     return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_column
+from .common import chunks, hash_sample, text_column
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -269,7 +269,8 @@ def beliefs(g: Graph, f: Field, params: FieldParams) -> np.ndarray:
 
 def train(docs: DataFrame, params: FieldParams = FieldParams()) -> Field:
     """A field from the base spans of at most params.sample documents with digits or an @, taken in hash order."""
-    some = docs.select(text_column().alias("text")).filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(params.sample)
+    told = docs.select(text_column().alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    some = hash_sample(told, F.xxhash64("text"), "text", params.sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches):
