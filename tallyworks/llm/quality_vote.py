@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNICODE, WordHasher, chunks, mix, plain_words, text_column
+from .common import UNICODE, WordHasher, bounded_sample, chunks, mix, plain_words, text_column
 
 SHAPES = 16
 TRIGRAMS = SHAPES ** 3
@@ -132,8 +132,7 @@ def fit(x: np.ndarray, labels: np.ndarray, params: VoteParams) -> Space:
 
 def train(docs: DataFrame, labels: DataFrame, params: VoteParams = VoteParams()) -> Space | None:
     """The space of labels (doc_id, label), rows taken in hash order up to params.sample; None without labels."""
-    known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    some = docs.select("doc_id", text_column().alias("text")).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(params.sample)
+    some = bounded_sample(docs, labels, F.min("label"), params.sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -143,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, params: VoteParams = VoteParams())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in (term.astype(np.int32), weight)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "term", "weight"])
 
-    got = some.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text").mapInArrow(run, "doc_id long, label int, term array<int>, weight array<float>").toArrow()
+    got = some.mapInArrow(run, "doc_id long, label int, term array<int>, weight array<float>").toArrow()
     if not got.num_rows:
         return None
     term, weight = got["term"].combine_chunks(), got["weight"].combine_chunks()
