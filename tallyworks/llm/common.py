@@ -17,7 +17,7 @@ SPACE_CODES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SPACES = "".join(map(chr, SPACE_CODES))
 BREAK = r"[\x20\x09-\x0D]+"
 
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 UNICODE = 0x110000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -94,6 +94,12 @@ def plain_words() -> np.ndarray:
     return fold
 
 
+def release() -> None:
+    """Gives freed memory back, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with about CHUNK_CHARS characters each, or one longer text; null texts are empty."""
     for batch in batches:
@@ -106,6 +112,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
                     yield batch.slice(first, i - first), [t or "" for t in texts.slice(first, i - first).to_pylist()]
                 first, size = i, 0
             size += n or 0
+    release()
 
 
 def hash_sample(df: DataFrame, code: Column, tie: str, rows: int) -> DataFrame:

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import WordHasher, chunks, components, mix, plain_words, text_column
+from .common import WordHasher, chunks, components, mix, plain_words, release, text_column
 
 # Text per hash range, and tokens a task holds before it passes them on.
-RANGE_CHARS, HELD_TOKENS = 16_000_000, 1_200_000
+RANGE_CHARS, HELD_TOKENS = 16_000_000, 800_000
 HEAVY_SHARE, HEAVY_LEAST = 500, 16
 TABLE = pa.schema([("part", pa.int32()), ("fp1", pa.binary()), ("fp2", pa.binary()), ("n", pa.binary()), ("at", pa.binary()),
                    ("low", pa.binary()), ("high", pa.binary()), ("freq", pa.binary())])
@@ -210,6 +210,7 @@ def shared_tokens(docs: DataFrame, heavy: np.ndarray, parts: int, params: JoinPa
         """Of one hash range: tokens of two nodes or more, dealt by node. Rows that are dealt by node pass."""
         if table.column("part")[0].as_py() >= parts:
             return table
+        release()
         t, node, fp1, fp2, n, _ = unpack(table)
         order = np.lexsort((node, t))
         t, node = t[order], node[order]
@@ -223,6 +224,7 @@ def shared_tokens(docs: DataFrame, heavy: np.ndarray, parts: int, params: JoinPa
         return TABLE.empty_table() if rows is None else pa.Table.from_batches([rows])
 
     def gather(table: pa.Table) -> pa.Table:
+        release()
         t, node, fp1, fp2, n, freq = unpack(table)
         order = np.lexsort((t, freq, node))
         t, node, freq = t[order], node[order], freq[order]
