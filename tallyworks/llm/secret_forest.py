@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -102,8 +102,8 @@ def labelled_findings(docs: DataFrame, params: ForestParams) -> DataFrame:
     """(label, features) of at most params.sample findings of each class, chosen by hash over all documents."""
     found = docs.select(F.explode(candidates(text_column())).alias("f")).select(silver(F.col("f")).cast("double").alias("label"), "f.*").filter("label is not null")
     kept = found.select("label", *NAMES, "c").dropDuplicates(["label", "c"])
-    some = lambda k: kept.filter(F.col("label") == k).orderBy(F.xxhash64("c"), "c").limit(params.sample)
-    return durable(some(0).union(some(1)))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("c"), "c"))
+    return durable(kept.withColumn("place", place).filter(F.col("place") <= params.sample).drop("place"))
 
 
 def split_tree(text: str) -> list:
