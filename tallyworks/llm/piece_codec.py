@@ -23,7 +23,7 @@ from .common import chunks, text_column
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHED_WORDS, CACHED_LENGTH, TRACE_EVERY = 900_000, 40, 64
+CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH, TRACE_EVERY = 700_000, 1 << 17, 40, 64
 
 
 class Vocabulary:
@@ -36,7 +36,9 @@ class Vocabulary:
         self.surface = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()}
         self.surface.update({i: bytes([b]) for b, i in enumerate(bytes_ or ())})
         self.ends = {p[i:] for p in pieces for i in range(len(p))}
-        self.fits = lru_cache(1 << 18)(self._fits)
+        self.ranks = {p: -s for p, (_, s) in pieces.items()}
+        self.splits: dict[str, tuple[str, str] | None] = {}
+        self.fits = lru_cache(CACHED_PAIRS)(self._fits)
 
     @classmethod
     def load(cls, path: str, unigram: bool = False) -> Vocabulary:
@@ -52,19 +54,42 @@ class Vocabulary:
             return [self.pieces[piece][0]]
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
-    def merged(self, text: str) -> list[str]:
-        """Symbols left when the best-scored neighbours, first ones first, have been merged again and again."""
-        symbols = list(text)
-        while len(symbols) > 1:
-            options = [(-self.pieces[s][1], i) for i in range(len(symbols) - 1) if (s := symbols[i] + symbols[i + 1]) in self.pieces]
-            if not options:
-                break
-            i = min(options)[1]
-            symbols[i: i + 2] = [symbols[i] + symbols[i + 1]]
-        return symbols
+    def split(self, piece: str) -> tuple[str, str] | None:
+        """The two symbols whose merge makes the piece last; None where merging its characters makes something else."""
+        if piece not in self.splits:
+            symbols = list(piece)
+            while len(symbols) > 2:
+                options = [(self.ranks[s], i) for i in range(len(symbols) - 1) if (s := symbols[i] + symbols[i + 1]) in self.ranks]
+                if not options:
+                    break
+                i = min(options)[1]
+                symbols[i: i + 2] = [symbols[i] + symbols[i + 1]]
+            self.splits[piece] = tuple(symbols) if len(symbols) == 2 else None
+        return self.splits[piece]
 
     def _fits(self, left: str, right: str) -> bool:
-        return self.merged(left + right) == ([left, right] if left else [right])
+        """Whether merging the characters of both gives just the two.
+
+        The merges that made them are undone, latest first. Between two of these the symbols on either side of the
+        boundary stand next to each other; if they have a merge of their own that comes before the next one, or as
+        early and further left, it would have crossed the boundary.
+        """
+        ranks = self.ranks
+        if len(right) > 1 and self.split(right) is None:
+            return False
+        if not left:
+            return True
+        before = float("inf")
+        while True:
+            own = ranks.get(left + right)
+            if own is not None and own < before:
+                return False
+            if len(left) > 1 and (len(right) == 1 or ranks[left] > ranks[right]):
+                before, left = ranks[left], self.split(left)[1]
+            elif len(right) > 1:
+                before, right = ranks[right] + 0.5, self.split(right)[0]
+            else:
+                return True
 
 
 class Stream:
