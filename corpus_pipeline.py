@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyworks.llm import decontaminate, ngram_join, piece_codec, rule_ledger, secret_forest
 from tallyworks.session import durable
 
+# Near copies of the corpus share 80 % of their runs of five words; the bar of op3 binds that query only.
+NEAR = ngram_join.JoinParams(words=5, percent=80)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current rule policy keeps."""
@@ -20,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every group that links join."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def op4_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_ngram_join")
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.join_components(table(spark, folder, "documents"))
+    return ngram_join.join_components(table(spark, folder, "documents"), ngram_join.JoinParams(words=4, percent=85))
 
 
 @query("op6_secret_forest")
