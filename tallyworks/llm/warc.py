@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import number_rows
+from ..session import durable
+
 VERSION = "WARC/1.1"
 SAME = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # Records end with this; Spark's text writer puts it behind every row.
@@ -65,47 +68,70 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return f"{VERSION}\r\n{head}\r\n".encode() + block
 
 
-def records(key: int, url: str, payload: bytes, digest: str, original: int | None, params: WarcParams) -> Iterator[bytes]:
+def page_name(key: int | None, sha1: str, copy: int = 1) -> str:
+    """What the record ids of a row are made of: its key, its payload, and a number among rows that share both."""
+    return f"{'' if key is None else key}/{sha1}/{copy}"
+
+
+def records(key: int | None, copy: int, url: str, payload: bytes, sha1: str, original: int | None, params: WarcParams) -> Iterator[bytes]:
     """The records of one page, without their ends."""
+    name, digest = page_name(key, sha1, copy), base64.b32encode(bytes.fromhex(sha1)).decode()
     url = "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
-    own = [("WARC-Date", params.date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Page-Key", key), ("Content-Type", "application/http;msgtype=response")]
+    own = [("WARC-Date", params.date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), *([] if key is None else [("WARC-Page-Key", key)]), ("Content-Type", "application/http;msgtype=response")]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if original is not None:
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(str(key), 1)), ("WARC-Profile", SAME), ("WARC-Refers-To", record_id(str(original), 1)), *own], head)
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(name, 1)), ("WARC-Profile", SAME), ("WARC-Refers-To", record_id(page_name(original, sha1), 1)), *own], head)
         return
     block = head + chunked(payload, params.chunk_bytes)
     parts = [block[i: i + params.segment_bytes] for i in range(0, len(block), params.segment_bytes)]
     for n, part in enumerate(parts, 1):
         if n == 1:
             extra = [("WARC-Segment-Number", 1)] if len(parts) > 1 else []
-            yield record([("WARC-Type", "response"), ("WARC-Record-ID", record_id(str(key), 1)), *own, *extra], part)
+            yield record([("WARC-Type", "response"), ("WARC-Record-ID", record_id(name, 1)), *own, *extra], part)
         else:
             last = [("WARC-Segment-Total-Length", len(block))] if n == len(parts) else []
-            yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(str(key), n)), ("WARC-Date", params.date), ("WARC-Segment-Number", n), ("WARC-Segment-Origin-ID", record_id(str(key), 1)), *last], part)
+            yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(name, n)), ("WARC-Date", params.date), ("WARC-Segment-Number", n), ("WARC-Segment-Origin-ID", record_id(name, 1)), *last], part)
 
 
 def prepared(pages: DataFrame) -> DataFrame:
-    """(key, url, payload, sha1, original) of every row; original is the key of the response it repeats, or null."""
+    """(key, url, payload, sha1) of every row."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("key"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     return rows.withColumn("sha1", F.sha1("payload"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with original, the key of the response that a row repeats or null, and copy, counting rows of one key and payload.
+
+    Only sums are gathered per key and payload, and only payloads that repeat are joined back. Rows move a second time
+    only where a key repeats with its payload, which is asked first.
+    """
+    sums = durable(rows.groupBy("sha1", "key").agg(F.count("*").alias("n")))
+    again = sums.groupBy("sha1").agg(F.max("key").alias("original"), F.sum("n").alias("all")).filter("all > 1").select("sha1", "original")
+    later = F.col("key").isNull() | (F.col("original") > F.col("key"))
+    linked = rows.join(again, "sha1", "left").withColumn("original", F.when(later, F.col("original")))
+    twice = sums.filter("n > 1").select(F.col("sha1").alias("s"), F.col("key").alias("k"))
+    if not twice.limit(1).count():
+        return linked.withColumn("copy", F.lit(1).cast("long"))
+    same = (F.col("sha1") == F.col("s")) & F.col("key").eqNullSafe(F.col("k"))
+    some = linked.join(twice, same, "left_semi").withColumn("at", F.monotonically_increasing_id())
+    copies = number_rows(some, ["sha1", "key"], [F.col("url"), F.col("at")], "copy").withColumn("copy", F.col("copy").cast("long")).drop("at")
+    return linked.join(twice, same, "left_anti").withColumn("copy", F.lit(1).cast("long")).unionByName(copies)
+
+
 def write(pages: DataFrame, folder: str, params: WarcParams = WarcParams()) -> None:
     """Writes one record, or its segments, per row of pages (page_id, url, html) to gzip files in folder.
 
     Of rows with equal payloads the one with the largest page_id is the response; the others are revisits that
-    refer to it. Only sums are gathered per payload, and only payloads that repeat are joined back.
+    refer to it. Rows that repeat that page_id are responses too, with record ids of their own; revisits refer to the
+    first. Records of rows without a page_id have no key; they are revisits where a row with one holds the payload.
     """
-    rows = prepared(pages)
-    again = rows.groupBy("sha1").agg(F.max("key").alias("original"), F.count("*").alias("n")).filter("n > 1").select("sha1", "original")
-    linked = rows.join(again, "sha1", "left").withColumn("original", F.when(F.col("original") > F.col("key"), F.col("original")))
+    linked = numbered(prepared(pages))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, url, payload, sha1, original in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "payload", "sha1", "original"))):
-                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                yield pa.record_batch([pa.array(list(records(key, url, payload, digest, original, params)), pa.binary())], names=["value"])
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "copy", "url", "payload", "sha1", "original"))):
+                yield pa.record_batch([pa.array(list(records(*row, params)), pa.binary())], names=["value"])
 
     built = linked.mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value"))
     per_file = max(1, params.file_bytes // (params.segment_bytes + 1024))

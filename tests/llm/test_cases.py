@@ -97,6 +97,18 @@ def test_archives_of_awkward_pages(spark):
     assert all(got[i].payload_digest == warc.base32_digest((data[i - 1][2] or "").encode()) for i in got)
 
 
+def test_archives_of_repeated_and_missing_page_ids(spark):
+    long_, held = "z" * 100_000, "<p>held</p>"
+    data = [(7, "u", long_), (7, "u", long_), (3, "v", long_), (7, "u", "other"), (None, "w", long_), (None, "w", "alone"), (None, "x", "alone"), (8, "a", held), (8, "b", held), (8, "b", held), (2, "c", held), (2, "c", held)]
+    folder = scratch_path(spark, "pages")
+    warc.write(spark.createDataFrame(data, "page_id long, url string, html string").repartition(3), folder)
+    stored = warc.read_records(spark, folder)
+    assert stored.select("id").distinct().count() == stored.count()
+    got = sorted(map(repr, (tuple(r) for r in warc.read(spark, folder).collect())))
+    want = [(i, "response" if (i, h) in ((7, long_), (7, "other"), (8, held), (None, "alone")) else "revisit", 7 if h == long_ else 8, h) for i, _, h in data]
+    assert got == sorted(repr((i, len(h), warc.base32_digest(h.encode()), kind, top if kind == "revisit" else None)) for i, kind, top, h in want)
+
+
 def test_no_pages(spark):
     folder = scratch_path(spark, "pages")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
