@@ -1,31 +1,47 @@
 """Secret scan whose false positives a random forest removes.
 
-Candidates are long runs of key characters. Each gets features of its length, character transitions, dictionary
+Candidates are values assigned to key words, at any length, tokens of known forms, and long runs of key characters,
+also where single marks break them. Each gets features of its length, character transitions, dictionary
 coverage, path and neighbouring words; the forest, trained on labelled findings, votes. The trees become one column
 expression, so all candidates of a text are judged where the text lies. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
 from .common import text_column
 from .rule_ledger import bind
 
-CANDIDATE = r"[A-Za-z0-9_/+=-]{16,}"
 # Common fragments of the four languages; what they cover of a candidate is dictionary coverage.
 FRAGMENTS = ("the", "and", "ing", "tion", "ent", "her", "for", "ver", "are", "ere", "ion", "ter", "est", "ati", "hat", "ate", "all", "eth", "his", "ich", "der", "die",
              "und", "ein", "sch", "che", "keit", "heit", "lich", "ung", "gen", "ber", "les", "que", "eau", "elle", "ment", "our", "tre", "eux", "aux", "pas", "los", "las",
              "del", "con", "par", "ado", "nte", "ara", "mos", "ble", "onn", "ness", "able")
 KEY_WORDS = "token|secret|passw|pwd|api|auth|key|bearer|credential|private|access"
+HASH_WORDS = "commit|sha|md5|hash|digest|checksum|revision|etag|tree|uuid|guid"
+# Public forms of issued tokens; the first has dotted segments.
+KNOWN = (r"eyJ[A-Za-z0-9_-]{6,}(?:\.[A-Za-z0-9_-]{2,}){1,4}", r"SG\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])", r"gh[opsur]_[A-Za-z0-9]{20,}",
+         r"xox[abprs]-[A-Za-z0-9-]{10,}", r"(?:sk|pk|rk)[_-](?:live|test|proj)[_-][A-Za-z0-9_-]{8,}", r"AIza[A-Za-z0-9_-]{30,}", r"glpat-[A-Za-z0-9_-]{16,}")
+# The part before a value that is assigned to a key word; its short checks spare most positions the rest.
+_ASSIGNED = rf"(?<=[=:\s\"'])(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{KEY_WORDS})[A-Za-z0-9_-]{{0,16}}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)"
+_RUN, _EDGE = "[A-Za-z0-9_/+-]", "[&!~.](?=[A-Za-z0-9])"
+CANDIDATE = "|".join((
+    rf"{_ASSIGNED}(?<=[\"'])[^\"'\r\n]{{1,256}}(?=[\"'])",
+    rf"{_ASSIGNED}[^\s\"'`<>,;(){{}}\[\]]*[^\s\"'`<>,;(){{}}\[\].:?=]",
+    rf"(?<![A-Za-z0-9])(?:{'|'.join(KNOWN)})",
+    rf"(?<!{_RUN})(?=(?:{_RUN}|{_EDGE}){{16}}){_RUN}+(?:{_EDGE}{_RUN}+){{0,64}}(?:={{1,2}}(?![A-Za-z0-9\"']))?",
+))
+UUID = "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 BLOCK = 256
 
 
@@ -59,14 +75,19 @@ def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
         "distinct": share(F.size(F.array_distinct(F.split(c, ""))), n),
         "dictionary": 1 - share(F.length(F.regexp_replace(F.lower(c), "|".join(sorted(FRAGMENTS, key=len, reverse=True)), "")), n),
         "slashes": share(F.regexp_count(c, F.lit("/")), n),
-        "in_path": (F.contains(c, F.lit("//")) | near.rlike(r"(https?:|[./@])$") | after.rlike(r"^[.@][a-z]")).cast("double"),
+        "in_path": (F.contains(c, F.lit("//")) | c.rlike(r"^/|/.*[._-][a-z]{1,5}$") | near.rlike(r"(https?:|[./@])$") | after.rlike(r"^[.@][a-z]")).cast("double"),
         "assigned": before.rlike(r"[=:]\s*[\"']?$").cast("double"),
         "quoted": (before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).cast("double"),
         "key_word": near.rlike(rf"(?:{KEY_WORDS})[a-z_]*[^a-z]{{0,8}}$").cast("double"),
+        "known": c.rlike(rf"^(?:{'|'.join(KNOWN)})$").cast("double"),
+        "uuid": c.rlike(UUID).cast("double"),
+        "hash_size": c.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$").cast("double"),
+        "hash_word": near.rlike(rf"(?:{HASH_WORDS})[a-z0-9_-]*[^a-z0-9]{{0,8}}$").cast("double"),
+        "marks": left("[A-Za-z0-9]"),
     }
 
 
-NAMES = ("length", "digits", "capitals", "beyond_hex", "letter_digit", "vowel_change", "distinct", "dictionary", "slashes", "in_path", "assigned", "quoted", "key_word")
+NAMES = ("length", "digits", "capitals", "beyond_hex", "letter_digit", "vowel_change", "distinct", "dictionary", "slashes", "in_path", "assigned", "quoted", "key_word", "known", "uuid", "hash_size", "hash_word", "marks")
 
 
 def running(lengths: Column) -> Column:
@@ -82,7 +103,7 @@ def candidates(text: Column) -> Column:
     """array<struct<c, gap, start, features...>> of a text; gap is the text between the candidate and the one before."""
     def build(found: Column, gaps: Column, starts: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
-            own = features(c, F.right(F.get(gaps, i), F.lit(32)), F.left(F.get(gaps, i + 1), F.lit(2)))
+            own = features(c, F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), F.lit(32)), F.left(F.get(gaps, i + 1), F.lit(2)))
             return F.struct(c.alias("c"), (F.get(starts, i) + F.length(F.get(gaps, i))).alias("start"), *(v.alias(k) for k, v in own.items()))
         return F.transform(found, one)
 
@@ -93,17 +114,49 @@ def candidates(text: Column) -> Column:
 
 
 def silver(c: Column) -> Column:
-    """The label of a finding without one of its own: 1 assigned to a key word, 0 plain words and plain numbers, else null."""
+    """The label of a finding without one of its own, else null.
+
+    1: mixed characters assigned to a key word, tokens of known forms. 0: plain words and plain numbers (quoted words
+    assigned to a key word are open), and unassigned UUIDs, hash sizes, what follows a hash word, and paths.
+    """
+    told = (c["assigned"] == 1) & (c["key_word"] == 1)
     dense = (c["digits"] > 0) & (c["digits"] < 1) & (c["distinct"] > 0.2)
-    return F.when((c["assigned"] == 1) & (c["key_word"] == 1) & dense, 1).when((c["digits"] == 0) | (c["digits"] == 1), 0)
+    plain = (c["digits"] == 0) | (c["digits"] == 1)
+    other = (c["uuid"] == 1) | (c["hash_size"] == 1) | (c["hash_word"] == 1) | (c["in_path"] == 1)
+    return F.when((told & dense) | (c["known"] == 1), 1).when(plain & ~(told & (c["quoted"] == 1)), 0).when(other & ~told, 0)
+
+
+def examples() -> list[tuple[float, str]]:
+    """(label, text) with one candidate each: forms that a corpus may lack. The same in every run."""
+    r = random.Random(20)
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    plain, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
+    word = lambda: "".join(r.choice(FRAGMENTS) for _ in range(r.randint(2, 4)))
+    out: list[tuple[float, str]] = []
+    for i in range(40):
+        name, mark = r.choice(("token", "password", "api_key", "secret", "pwd", "auth_key", "private_key")), r.choice(("= ", "=", ": "))
+        short = f"{word()[: r.randint(3, 7)].capitalize()}{r.choice('&!@#~.-_')}{r.randrange(10, 9999)}"
+        out += [(1.0, f'{name} {mark}"{v}"') for v in (short, some(plain, r.randint(8, 14)), some(plain + "&!~.", r.randint(20, 40)), some(hexes, r.choice((32, 40, 64))))]
+        out += [(1.0, f"{name}{mark}{v} and") for v in (some(plain + "!~&", 12) + "7a", some(plain, 32))]
+        out += [(1.0, f"{word()} {v} {word()}") for v in (f"eyJ{some(plain, 20)}.{some(plain, 24)}.{some(plain, 12)}", f"AKIA{some('ABCDEFGHIJ234567', 16)}", f"ghp_{some(plain, 36)}")]
+        out += [(1.0, f"{word()} {some(plain, 3)}{r.randrange(100)}{some(plain, 14)}&{some(plain, 8)}!{some(plain, 9)}4 {word()}")]
+        h = some(hexes, 32)
+        out += [(0.0, f"{c} {v} {word()}") for c, v in (("commit", some(hexes, 40)), ("", some(hexes, 40)), (word(), some(hexes, r.choice((32, 64)))), ("sha256:", some(hexes, 64)), ("id", f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"))]
+        out += [(0.0, v) for v in (f"see /usr/{word()}/{word()}{r.randrange(99)}/{word()}.py here", f"https://{word()}.org/{word()}/{word()}{r.randrange(9999)}/{word()}", f"the {word()}{word()}{word()}{word()} of", f"no {r.randrange(10 ** 17, 10 ** 18)} and", f"key: {word()} and")]
+    return out
+
+
+def example_findings(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(examples(), "label double, text string").coalesce(1)
+    return rows.select("label", F.explode(candidates(F.col("text"))).alias("f")).select("label", *(F.col(f"f.{n}").alias(n) for n in (*NAMES, "c")))
 
 
 def labelled_findings(docs: DataFrame, params: ForestParams) -> DataFrame:
-    """(label, features) of at most params.sample findings of each class, chosen by hash over all documents."""
+    """(label, features) of at most params.sample findings of each class, chosen by hash over all documents, and the examples."""
     found = docs.select(F.explode(candidates(text_column())).alias("f")).select(silver(F.col("f")).cast("double").alias("label"), "f.*").filter("label is not null")
     kept = found.select("label", *NAMES, "c").dropDuplicates(["label", "c"])
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("c"), "c"))
-    return durable(kept.withColumn("place", place).filter(F.col("place") <= params.sample).drop("place"))
+    return durable(kept.withColumn("place", place).filter(F.col("place") <= params.sample).drop("place").unionByName(example_findings(docs.sparkSession)))
 
 
 def split_tree(text: str) -> list:
@@ -122,10 +175,11 @@ def split_tree(text: str) -> list:
 
 
 def train(findings: DataFrame, params: ForestParams) -> list:
-    """Trees of a forest; with one class only, that class as a single leaf; without findings, none."""
-    classes = [r[0] for r in findings.select("label").distinct().collect()]
+    """Trees of a forest; a class without findings is taken from the examples."""
+    findings = findings.select("label", *NAMES, "c")
+    classes = {r[0] for r in findings.select("label").distinct().collect()}
     if len(classes) < 2:
-        return classes
+        findings = findings.unionByName(example_findings(findings.sparkSession).filter(~F.col("label").isin(*classes) if classes else F.lit(True)))
     rows = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(findings).orderBy("label", "c").coalesce(1)
     model = RandomForestClassifier(numTrees=params.trees, maxDepth=params.depth, seed=params.seed).fit(rows)
     return [split_tree(t.toDebugString) for t in model.trees]
@@ -147,7 +201,8 @@ def secrets(docs: DataFrame, params: ForestParams = ForestParams(), findings: Da
     """(doc_id, start, end, score) of every secret of every row; start and end in code points, end exclusive.
 
     findings holds labelled features (see labelled_findings) and defaults to those of docs. Null and empty texts
-    have none; repeated rows repeat theirs; without labelled findings of either class nothing is a secret.
+    have none; repeated rows repeat theirs; a class without labelled findings is learned from
+    the built-in examples.
     """
     trees = train(labelled_findings(docs, params) if findings is None else findings, params)
     found = docs.select(F.col("doc_id"), F.explode(F.filter(judged(text_column(), trees), lambda f: f["score"] >= params.threshold)).alias("f"))

@@ -228,6 +228,21 @@ def test_secrets_are_found_and_redacted(spark):
         assert r.text == text and r.n_chars == len(text)
 
 
+def test_short_passwords_dotted_tokens_and_bare_hashes(spark):
+    word, jwt = "of the and " * 5, "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnMTIz"
+    secret = ["Tr0ub4dor&3", "hunter2!x9", jwt, "aB3dE6gH9&kL2mN5pQ8!sT1v", "c0ffee" * 5 + "99"]
+    texts = [f'password = "{secret[0]}"', f"pwd={secret[1]} then", f"{word}{jwt} {word}", f'api_key: "{secret[3]}"', f'token = "{secret[4]}"']
+    clean = ["commit " + "9fceb02d0ae598e95dc970b74767f19372d61af8", "id 123e4567-e89b-12d3-a456-426614174000", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "in /usr/lib/python3/dist2packages/module1.py", word]
+    rows = lambda ts: frame(spark, [(i, t, None, None, None) for i, t in enumerate(ts)])
+    found = {(r.doc_id, texts[r.doc_id][r.start:r.end]) for r in secret_forest.secrets(rows(texts)).collect()}
+    assert found == set(enumerate(secret))
+    assert secret_forest.secrets(rows(clean)).count() == 0
+    assert [r.text for r in secret_forest.redacted(rows([*texts[:2], *clean])).orderBy("doc_id").collect()] == ['password = "[secret]"', "pwd=[secret] then", *clean]
+    one = secret_forest.example_findings(spark)
+    for label in (0, 1):
+        assert {r.doc_id for r in secret_forest.secrets(rows([*texts, *clean]), findings=one.filter(f"label = {label}")).collect()} == set(range(5))
+
+
 # 7 personal data
 
 
