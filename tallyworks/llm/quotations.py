@@ -1,8 +1,8 @@
 """Conversations put in order by what their messages quote.
 
 Nested quote levels are parsed line by line; runs of lines of one level are passages. Passages are normalised and
-hashed, quoted ones are joined to the first message of the conversation that says them itself, and the links give
-threads. Messages come out without quotes, replies after what they reply to. DataFrame functions only.
+hashed, quoted ones are joined to the first message of the conversation that says them itself; those that are found
+nowhere whole are looked up by runs of words. The links give threads. Messages come out without quotes, replies after what they reply to. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import number_rows
 from ..session import durable
-from .common import BREAK
+from .common import BREAK, words
 from .rule_ledger import bind
 
 MARKS = r"^((?:[\x20\x09]*>)+)[\x20\x09]?"
 ATTRIBUTION = r"(?i)^\s*(on\b.*\s)?.*\b(wrote|writes|schrieb|escribió|a écrit)\s*:\s*$"
 # Control characters that divide passages while a message is taken apart; texts lose them first.
 CUT, LEVEL = "\x01", "\x02"
+# Words of a run, and the marks of what a quote leaves out.
+RUN, LEFT_OUT = 4, r"[\[(]?(?:\.{3,}|…)[\])]?"
 
 
 def level(line: Column) -> Column:
@@ -63,20 +65,52 @@ def parsed(messages: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("id"), "conv_id", "turn", "role",
         F.trim(F.array_join(F.transform(own, lambda x: x["text"]), "\n\n")).alias("body"),
         F.array_distinct(F.transform(own, lambda x: key(x["text"]))).alias("own"),
-        F.array_distinct(F.transform(quoted, lambda x: F.struct(x["level"].alias("level"), key(x["text"]).alias("key")))).alias("quoted"),
+        F.array_distinct(F.transform(quoted, lambda x: F.struct(x["level"].alias("level"), key(x["text"]).alias("key"), normalised(x["text"]).alias("text")))).alias("quoted"),
     )
 
 
+def bare_words(text: Column) -> Column:
+    return words(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}\x20\x09-\x0D]+", "")))
+
+
+def word_runs(text: Column) -> Column:
+    """Keys of all runs of RUN words of a text, of all words of a shorter one; none without words."""
+    def runs(ws: Column) -> Column:
+        longer = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - RUN + 1, F.lit(1))), lambda i: key(F.array_join(F.slice(ws, i, F.lit(RUN)), " ")))
+        return F.when(F.size(ws) > 0, longer)
+    return bind(bare_words(text), runs)
+
+
+def found_in_parts(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, level, key, first) of quoted passages whose runs of words were all said before.
+
+    first is the latest of the turns that said a run first, which is the message quoted unless others said all its
+    runs before. Quotes of fewer than RUN words have to be a whole line or sentence. Only conversations with such
+    quotes are read again, and one row per run and conversation is joined.
+    """
+    said = rows.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(F.split("body", r"\n\n+")).alias("text"))
+    short = F.filter(F.split("text", r"\n|(?<=[.!?])\s+"), lambda x: F.size(bare_words(x)) < RUN)
+    pieces = said.select("conv_id", "turn", F.explode(F.concat(F.array("text"), short)).alias("text"))
+    first = pieces.select("conv_id", "turn", F.explode(word_runs(F.col("text"))).alias("run")).groupBy("conv_id", "run").agg(F.min("turn").alias("first"))
+    parts = asked.select("id", "conv_id", "turn", "level", "key", F.explode(F.split("text", LEFT_OUT)).alias("part"))
+    wanted = parts.select("id", "conv_id", "turn", "level", "key", F.explode(word_runs(F.col("part"))).alias("run"))
+    met = wanted.join(first, ["conv_id", "run"], "left").withColumn("first", F.when(F.col("first") < F.col("turn"), F.col("first")))
+    return met.groupBy("id", "level", "key").agg(F.count("*").alias("n"), F.count("first").alias("found"), F.max("first").alias("first")).filter("n = found").select("id", "level", "key", F.col("first").alias("part_first"))
+
+
 def parents(rows: DataFrame) -> DataFrame:
     """(id, n_quotes, n_linked, parent_turn) of every message with quotes.
 
-    Every quoted passage is joined to the earliest message of the conversation that says it unquoted. The parent is
-    the latest such message among the outermost quotes that are found. One row per passage and conversation is
-    joined, so that passages said very often add nothing.
+    Every quoted passage is joined to the earliest message of the conversation that says it unquoted, whole or, where
+    none does, in parts. The parent is the latest such message among the outermost quotes that are found. One row per
+    passage and conversation is joined, so that passages said very often add nothing.
     """
     said = rows.select("conv_id", "turn", F.explode("own").alias("key")).groupBy("conv_id", "key").agg(F.min("turn").alias("first"))
-    asked = rows.select("id", "conv_id", "turn", F.explode("quoted").alias("q")).select("id", "conv_id", "turn", F.col("q.level").alias("level"), F.col("q.key").alias("key"))
-    met = asked.join(said, ["conv_id", "key"], "left").withColumn("first", F.when(F.col("first") < F.col("turn"), F.col("first")))
+    asked = rows.select("id", "conv_id", "turn", F.explode("quoted").alias("q")).select("id", "conv_id", "turn", F.col("q.level").alias("level"), F.col("q.key").alias("key"), F.col("q.text").alias("text"))
+    met = durable(asked.join(said, ["conv_id", "key"], "left").withColumn("first", F.when(F.col("first") < F.col("turn"), F.col("first"))))
+    open_ = met.filter("first is null and conv_id is not null and turn is not null")
+    if open_.limit(1).count():
+        met = met.join(durable(found_in_parts(rows, open_)), ["id", "level", "key"], "left").withColumn("first", F.coalesce("first", "part_first"))
     nearest = F.max(F.when(F.col("first").isNotNull(), F.struct((-F.col("level")).alias("l"), F.col("first").alias("turn"))))
     return met.groupBy("id").agg(F.count("*").alias("n_quotes"), F.count("first").alias("n_linked"), nearest["turn"].alias("parent_turn"))
 

@@ -334,6 +334,16 @@ def test_threads_from_nested_quotes(spark):
         (0, None, 0, 0, "Hello there,\nhow are you?\n\nSecond  para."), (1, 0, 0, 1, "Fine."), (3, 1, 0, 2, "Great."), (2, None, 2, 0, "unrelated"), (6, 2, 2, 1, "yes"), (4, None, 4, 0, ""), (5, None, 5, 0, "ok")]
 
 
+def test_partial_trimmed_and_interleaved_quotes(spark):
+    data = [
+        (1, 0, "u", "The first point is about costs. It is short.\nThe second line has other words in it.\nReally?"), (1, 1, "u", "Something of another kind is said here."),
+        (1, 2, "u", "> It is short.\nyes"), (1, 3, "u", "> The second line has\n> other words in it.\nno"), (1, 4, "u", "> The first point is about costs.\none\n> Really?\ntwo"),
+        (1, 5, "u", "> Something of another kind ...\nok"), (1, 6, "u", "> The first point is [...] other words in it.\nok"), (1, 7, "u", "> The first point is about gains.\nok"),
+    ]
+    got = quotations.linked_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: (r.parent_turn, r.n_quotes, r.n_linked) for r in got if r.turn > 1} == {2: (0, 1, 1), 3: (0, 1, 1), 4: (0, 2, 2), 5: (1, 1, 1), 6: (0, 1, 1), 7: (None, 1, 0)}
+
+
 def test_long_threads_keep_their_root(spark):
     data = [(1, 0, "u", "m0")] + [(1, i, "u", f"> m{i - 1}\nm{i}") for i in range(1, 40)] + [(1, 100 + i, "u", "> m0\nsame") for i in range(200)]
     got = quotations.linked_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()
