@@ -14,7 +14,7 @@ import duckdb
 from tallyworks.sources.schemas import STAR_TABLES
 
 DUCK_TYPES = {
-    "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
     "timestamp_ntz": "TIMESTAMP",
 }
 
