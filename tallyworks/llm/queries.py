@@ -30,4 +30,4 @@ def registered() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLE)
 
 
-from . import queries_text  # noqa: E402,F401
+from . import queries_tables, queries_text  # noqa: E402,F401
