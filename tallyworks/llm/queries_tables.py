@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bisector_clusters, merkle_manifest
+from . import bisector_clusters, hash_index, merkle_manifest
 from .queries import query, table
 
 CLUSTERS = bisector_clusters.ClusterParams()
@@ -78,3 +78,16 @@ FROM d JOIN q USING (r) JOIN s USING (tree) JOIN done USING (r) LEFT JOIN listed
 @query("op12_merkle_manifest", MERKLE_SQL)
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.proofs(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+
+
+COPIES_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS x FROM documents),
+g AS (SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM t
+      WINDOW w AS (PARTITION BY x ORDER BY size DESC, doc_id NULLS LAST, r))
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(x) AS text_sha256 FROM g
+"""
+
+
+@query("op11_exact_dedup", COPIES_SQL)
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return hash_index.groups(table(spark, folder, "documents"))
