@@ -424,11 +424,11 @@ add("W1_keep_latest", "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders Q
 
 add("W2_sequence", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq FROM orders",
     lambda t: number_rows(t("orders").select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey"],
-                          [F.col("o_orderdate"), F.col("o_orderkey")], "seq").select("o_orderkey", "seq"))
+                          [F.col("o_orderdate"), F.col("o_orderkey")], "seq", stored=True).select("o_orderkey", "seq"))
 
 add("W3_first_value", "SELECT o_orderkey, FIRST_VALUE(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first_priority FROM orders",
     lambda t: number_rows(t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"), ["o_custkey"],
-                          [F.col("o_orderdate"), F.col("o_orderkey")], "seq", {"first_priority": "o_orderpriority"}).select("o_orderkey", "first_priority"))
+                          [F.col("o_orderdate"), F.col("o_orderkey")], "seq", {"first_priority": "o_orderpriority"}, stored=True).select("o_orderkey", "first_priority"))
 
 
 def _ordered(t):
@@ -436,7 +436,7 @@ def _ordered(t):
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice",
         F.when(F.col("l_discount") != 0.05, F.col("l_quantity")).alias("q"))
     ties = [F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice")]
-    return with_global_order(spend, [F.col("q").isNull(), F.col("q")], ties, "pos", rank="rank", total="n")
+    return with_global_order(spend, [F.col("q").isNull(), F.col("q")], ties, "pos", rank="rank", total="n", stored=True)
 
 
 _LINE_ORDER = "CASE WHEN l_discount <> 0.05 THEN l_quantity END ASC NULLS LAST, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice"

@@ -24,15 +24,16 @@ _SLICE = "_slice"
 SLICE_ROWS = 2_000_000
 
 
-def _planned(df: DataFrame, slices: int | None) -> tuple[DataFrame, int]:
+def _planned(df: DataFrame, slices: int | None, stored: bool) -> tuple[DataFrame, int]:
     """The rows, stored so that they are computed once, and the number of slices they need.
 
-    The stored count is read from file footers; sampling the range bounds then reads the ordering columns only.
+    Rows that are ``stored`` already are not written again: counting them and sampling their range bounds reads
+    footers and the ordering columns.
     """
     if slices:
         return df, slices
-    stored = durable(df)
-    return stored, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored.count() // SLICE_ROWS))
+    rows = df if stored else durable(df)
+    return rows, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SLICE_ROWS))
 
 
 def number_rows(
@@ -42,14 +43,15 @@ def number_rows(
     seq: str,
     firsts: dict[str, str] | None = None,
     slices: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Add ``seq``, the 1-based position within ``keys`` by ``order`` (which must be total).
 
     ``firsts`` maps a new column to an existing one and takes its value from the
-    first row of the key.
+    first row of the key. ``stored`` says that df only reads tables and so may be evaluated more than once.
     """
     firsts = firsts or {}
-    df, slices = _planned(df, slices)
+    df, slices = _planned(df, slices, stored)
     ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
     cut = durable(ranged.withColumn(_SLICE, F.spark_partition_id()))
     per_slice = cut.groupBy(_SLICE, *keys).agg(
@@ -85,13 +87,14 @@ def with_global_order(
     rank: str | None = None,
     total: str | None = None,
     slices: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Positions over the whole table by ``order`` then ``ties``; ``rank`` gives equal ``order`` values one rank.
 
     Slices are stored in sorted order with the row index of each row, so a position needs
-    no further exchange: the index plus what the earlier slices hold.
+    no further exchange: the index plus what the earlier slices hold. ``stored`` as in number_rows.
     """
-    df, slices = _planned(df, slices)
+    df, slices = _planned(df, slices, stored)
     ranged = df.repartitionByRange(slices, *order, *ties).sortWithinPartitions(*order, *ties)
     cut = durable(ranged.withColumns({_SLICE: F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     sizes = cut.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("_n"))

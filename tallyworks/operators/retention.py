@@ -123,12 +123,13 @@ def order_items_agg(
 
 
 def order_fact(
-    orders: DataFrame, customers: DataFrame, parts: list[DataFrame], sellers: DataFrame | None = None
+    orders: DataFrame, customers: DataFrame, parts: list[DataFrame], sellers: DataFrame | None = None,
+    added: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per order with buyer and delivery timing, and whatever the per-order ``parts`` add.
 
     ``parts`` (item totals, main items, latest reviews) share the key order_id and stand
-    next to each other, so the orders are exchanged once for all of them.
+    next to each other, so the orders are exchanged once for all of them; ``added`` names further columns they bring.
     """
     bought, arrived, promised = (
         F.col(c) for c in ("order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date")
@@ -147,7 +148,7 @@ def order_fact(
         arrived.alias("delivered_at"), promised.alias("promised_at"),
         F.datediff(arrived, bought).alias("days_to_deliver"),
         F.datediff(arrived, promised).alias("days_late"),
-        (day(arrived) > day(promised)).alias("is_late"), *extra,
+        (day(arrived) > day(promised)).alias("is_late"), *extra, *added,
     )
 
 
@@ -166,14 +167,17 @@ def delivered(facts: DataFrame, params: RetentionParams) -> DataFrame:
 
 
 def build_facts(
-    t: dict[str, DataFrame], item_ties: tuple[str, ...] = ("order_item_id",), columns: tuple[str, ...] | None = None
+    t: dict[str, DataFrame], item_ties: tuple[str, ...] = ("order_item_id",), columns: tuple[str, ...] | None = None,
+    more: DataFrame | None = None,
 ) -> DataFrame:
     """Order facts from the raw tables, joining only what ``columns`` (default all) need.
 
-    The skipped joins are left joins on a unique key, so they change no rows.
+    The skipped joins are left joins on a unique key, so they change no rows. ``more`` adds its columns by order_id,
+    next to the other parts.
     """
     need = set(columns if columns is not None else (*ITEM_TOTALS, "main_category", "main_seller_state", "review_score"))
-    parts = []
+    parts = [] if more is None else [more]
+    added = () if more is None else tuple(c for c in more.columns if c != "order_id")
     totals = bool(need & set(ITEM_TOTALS))
     if totals and not need & {"main_category", "main_seller_state"}:
         parts.append(item_totals(t["order_items"]))
@@ -182,30 +186,48 @@ def build_facts(
         parts.append(with_category(mains, t["products"], t["category_translation"]) if "main_category" in need else mains)
     if "review_score" in need:
         parts.append(review_latest(t["order_reviews"]).select("order_id", "review_score"))
-    facts = order_fact(t["orders"], t["customers"], parts, t["sellers"] if "main_seller_state" in need else None)
-    base = [c for c in facts.columns if c not in (*ITEM_TOTALS, "main_category", "main_seller_state", "review_score")]
-    return facts.select(*base, *[c for c in facts.columns if c in need and c not in base])
+    facts = order_fact(t["orders"], t["customers"], parts, t["sellers"] if "main_seller_state" in need else None, added)
+    optional = (*ITEM_TOTALS, "main_category", "main_seller_state", "review_score")
+    base = [c for c in facts.columns if c not in (*optional, *added)]
+    return facts.select(*base, *[c for c in facts.columns if c in need], *added)
 
 
 def build_model(
     tables: dict[str, DataFrame], params: RetentionParams, item_ties: tuple[str, ...] = ("order_item_id",),
-    columns: tuple[str, ...] | None = None,
+    columns: tuple[str, ...] | None = None, more: DataFrame | None = None,
 ) -> DataFrame:
     """Delivered orders straight from the raw tables."""
-    return delivered(build_facts(tables, item_ties, columns), params)
+    return delivered(build_facts(tables, item_ties, columns, more), params)
+
+
+def order_sequence(sales: DataFrame) -> DataFrame:
+    """(order_id, order_seq, cohort_month) of every delivered order, from keys and times alone."""
+    keys = sales.select("order_id", BUYER, "purchased_at", "purchase_month")
+    numbered = number_rows(keys, [BUYER], [F.col("purchased_at"), F.col("order_id")], "order_seq", firsts={"cohort_month": "purchase_month"})
+    return numbered.select("order_id", "order_seq", "cohort_month")
 
 
 def customer_orders(sales: DataFrame) -> DataFrame:
-    """Order sequence and cohort month of every delivered order."""
-    return number_rows(
-        sales, [BUYER], [F.col("purchased_at"), F.col("order_id")], "order_seq", firsts={"cohort_month": "purchase_month"}
-    )
+    """Order sequence and cohort month of every delivered order.
+
+    Numbered are keys only. Where sales come from ``build_model``, its ``more`` takes ``order_sequence`` as one more
+    part, on the exchange it has anyway.
+    """
+    return sales.join(order_sequence(sales), "order_id").select(*sales.columns, "order_seq", "cohort_month")
+
 
+def newest(sales: DataFrame) -> Column:
+    """Time of the latest order, as a scalar."""
+    return sales.select(F.max("purchased_at")).scalar()
 
-def first_orders(sales: DataFrame, params: RetentionParams, keep: list[str] | None = None) -> DataFrame:
+
+def first_orders(
+    sales: DataFrame, params: RetentionParams, keep: list[str] | None = None, latest: Column | None = None
+) -> DataFrame:
     """First order per buyer and the first order of the next later day, if any.
 
-    ``keep`` names the order columns to carry; the order id and time always are.
+    ``keep`` names the order columns to carry; the order id and time always are. ``latest`` is the time of the newest
+    order, where it can be had for less than from ``sales``: a model without columns joins neither items nor reviews.
     """
     keep = [c for c in (keep or sales.columns) if c not in (BUYER, "purchased_at", "order_id")]
     # Earliest order of each buyer and day; partial minima run before the shuffle.
@@ -216,7 +238,7 @@ def first_orders(sales: DataFrame, params: RetentionParams, keep: list[str] | No
     paired = heads.select(
         BUYER, "head", F.row_number().over(days).alias("_n"), F.lead("head").over(days).alias("next")
     ).filter("_n = 1")
-    cutoff = sales.select(F.max("purchased_at")).scalar()
+    cutoff = newest(sales) if latest is None else latest
     bought, back = F.col("head.purchased_at"), F.col("next.purchased_at")
     return paired.select(
         BUYER, F.col("head.order_id").alias("order_id"), bought.alias("purchased_at"),
@@ -245,9 +267,9 @@ def _buyers(sales: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- analysis
 
 
-def kpis(sales: DataFrame, params: RetentionParams) -> DataFrame:
+def kpis(sales: DataFrame, params: RetentionParams, latest: Column | None = None) -> DataFrame:
     """Headline figures in one row, from three aggregates read as scalars."""
-    firsts = first_orders(sales, params, keep=["gmv"])
+    firsts = first_orders(sales, params, keep=["gmv"], latest=latest)
     buyers = _buyers(sales).agg(F.struct(
         F.count(F.lit(1)).alias("buyers"),
         rate(F.col("orders") > 1).alias("naive"), rate(F.col("order_days") > 1).alias("any_return"),
@@ -276,9 +298,9 @@ def kpis(sales: DataFrame, params: RetentionParams) -> DataFrame:
     )
 
 
-def monthly(sales: DataFrame, params: RetentionParams) -> DataFrame:
+def monthly(sales: DataFrame, params: RetentionParams, latest: Column | None = None) -> DataFrame:
     """Orders per month; first orders are counted from the buyers' first orders, so no row is numbered."""
-    starts = first_orders(sales, params, keep=["purchase_month"]).groupBy("purchase_month").agg(
+    starts = first_orders(sales, params, keep=["purchase_month"], latest=latest).groupBy("purchase_month").agg(
         F.count(F.lit(1)).alias("first_orders")
     )
     by_month = sales.groupBy("purchase_month").agg(
@@ -454,9 +476,9 @@ def same_day_repeat_share(sales: DataFrame) -> DataFrame:
     )
 
 
-def late_first_review(sales: DataFrame, params: RetentionParams) -> DataFrame:
+def late_first_review(sales: DataFrame, params: RetentionParams, latest: Column | None = None) -> DataFrame:
     """Share of 1 and 2 star reviews among late and on-time first orders."""
-    firsts = first_orders(sales, params, keep=["is_late", "review_score"])
+    firsts = first_orders(sales, params, keep=["is_late", "review_score"], latest=latest)
     return firsts.filter(F.col("review_score").isNotNull() & F.col("is_late").isNotNull()).groupBy("is_late").agg(
         F.count(F.lit(1)).alias("buyers"), rounded(rate(F.col("review_score") <= 2), 6).alias("negative_share")
     )
