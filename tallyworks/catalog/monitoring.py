@@ -77,16 +77,15 @@ def worst_by_month(spark, folder):
     return op.worst_by_month(_classified(spark, folder))
 
 
-# The months of the test tables.
-SPAN = ("1995-01", "2001-11")
-_MONTHS = ", ".join(
-    f"CASE MAX(CASE WHEN month = DATE '{y}-{m:02d}-01' THEN CASE level WHEN 'Action' THEN 2 WHEN 'Alert' THEN 1 ELSE 0 END END) "
-    f"WHEN 2 THEN 'Action' WHEN 1 THEN 'Alert' WHEN 0 THEN 'Pass' END AS m{y}{m:02d}" for y, m in op.months_between(*SPAN))
-
-
-@query("E4_facility_matrix", f"WITH {CLASSIFIED} SELECT room, {_MONTHS} FROM em GROUP BY 1")
+# One column per month of the rows, those without events too.
+@query("E4_facility_matrix", f"""PIVOT (
+  WITH {CLASSIFIED}, worst AS (SELECT room, month, {_RANK} AS w FROM em GROUP BY 1, 2),
+  spine AS (SELECT UNNEST(RANGE(MIN(month), MAX(month) + INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS month FROM worst)
+  SELECT r.room, STRFTIME(s.month, 'm%Y%m') AS name, CASE w WHEN 2 THEN 'Action' WHEN 1 THEN 'Alert' WHEN 0 THEN 'Pass' END AS level
+  FROM (SELECT DISTINCT room FROM worst) r CROSS JOIN spine s LEFT JOIN worst w ON w.room = r.room AND w.month = s.month
+) ON name USING MAX(level) GROUP BY room""")
 def facility_matrix(spark, folder):
-    return op.facility_matrix(_classified(spark, folder), *SPAN)
+    return op.facility_matrix(_classified(spark, folder))
 
 
 _PARETO = CONTEXT + """,

@@ -59,11 +59,19 @@ def months_between(first: str, last: str) -> list[tuple[int, int]]:
     return [(i // 12, i % 12 + 1) for i in range(a, b + 1)]
 
 
-def facility_matrix(classified: DataFrame, first: str, last: str) -> DataFrame:
-    """Worst level per room, one column per month from first to last (yyyy-MM)."""
-    rank, months = severity(F.col("level")), months_between(first, last)
+def facility_matrix(classified: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Worst level per room, one column per month from first to last (yyyy-MM), gaps included.
+
+    Bounds that are not given are the earliest and the latest month of the rows, read by one aggregate, so that no
+    event falls outside. Without any month there are only the rooms.
+    """
+    if first is None or last is None:
+        text = lambda c: F.date_format(c, "yyyy-MM")
+        low, high = classified.agg(text(F.min("month")), text(F.max("month"))).first()
+        first, last = first or low, last or high
+    rank, months = severity(F.col("level")), months_between(first, last) if first and last else []
     name = lambda y, m: f"m{y}{m:02d}"
-    grid = classified.groupBy("room").agg(*[
+    grid = classified.groupBy("room").agg(F.count(F.lit(1)).alias("_events"), *[
         F.max(F.when((F.year("month") == y) & (F.month("month") == m), rank)).alias(name(y, m)) for y, m in months])
     named = [first_match([(F.col(name(y, m)) == r, t) for r, t in enumerate(LEVELS)]).alias(name(y, m)) for y, m in months]
     return grid.select("room", *named)

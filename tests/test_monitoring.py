@@ -27,3 +27,13 @@ def test_runs_break_on_gaps_and_cross_years(spark):
     df = spark.createDataFrame([("R", m, "Action" if m.month == 12 else "Alert") for m in months], "room string, month date, level string")
     got = sorted((r.first_month, r.last_month, r.months, r.action_months) for r in op.consecutive_runs(df).collect())
     assert got == [(date(2025, 11, 1), date(2026, 1, 1), 3, 1), (date(2026, 3, 1), date(2026, 4, 1), 2, 0)]
+
+
+def test_matrix_takes_its_months_from_the_rows(spark):
+    rows = [("R1", date(1969, 11, 1), "Alert"), ("R1", date(1970, 2, 1), "Pass"), ("R2", date(1970, 2, 1), "Action"), ("R2", date(1970, 2, 1), "Alert")]
+    df = spark.createDataFrame(rows, "room string, month date, level string")
+    got = op.facility_matrix(df)
+    assert got.columns == ["room", "m196911", "m196912", "m197001", "m197002"]
+    assert sorted(map(tuple, got.collect()), key=str) == [("R1", "Alert", None, None, "Pass"), ("R2", None, None, None, "Action")]
+    assert op.facility_matrix(df, "1970-01", "1970-02").columns == ["room", "m197001", "m197002"]
+    assert op.facility_matrix(df.filter("false")).collect() == []
