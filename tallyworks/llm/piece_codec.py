@@ -92,6 +92,82 @@ class Vocabulary:
                 return True
 
 
+class Followers(dict):
+    """Whether the symbol with a number fits behind one symbol."""
+
+    def __init__(self, symbols: Symbols, left: str) -> None:
+        super().__init__()
+        self.symbols, self.left = symbols, left
+
+    def __missing__(self, right: int) -> bool:
+        out = self[right] = self.symbols.v._fits(self.left, self.symbols.names[right])
+        self.symbols.known += 1
+        return out
+
+
+class Symbols:
+    """The forward pass over one word that the window holds whole, in numbers instead of strings.
+
+    It is the recurrence of ``Stream.step``: every boundary takes the one symbol whose predecessor fits. As the word is
+    no longer than the steps between two traces, nothing is committed before its end. A boundary depends on what stands
+    before it only, so boundaries of the front that a word shares with the one before are taken over.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v, self.known = vocabulary, 0
+        # Numbers of pieces and of characters outside them; ends of pieces that are no pieces have none. 0 is the front of a word.
+        self.names, self.coded, self.after = [""], [b""], [Followers(self, "")]
+        self.number: dict[str, int | None] = {p: None for p in vocabulary.ends}
+        for p in vocabulary.pieces:
+            self.add(p)
+        # Per boundary of the last word: what may follow the symbol that ends there, its number, and where it begins.
+        self.text, self.fits, self.numbers, self.starts = "", [self.after[0]], [0], [0]
+
+    def add(self, symbol: str) -> int:
+        self.number[symbol] = len(self.names)
+        self.names.append(symbol)
+        self.coded.append(np.array(self.v.ids(symbol), np.int32).tobytes())
+        self.after.append(Followers(self, symbol))
+        return self.number[symbol]
+
+    def __call__(self, text: str) -> bytes:
+        """The ids of a word as bytes of int32."""
+        if self.known > CACHED_PAIRS:
+            for known in self.after:
+                known.clear()
+            self.known = 0
+        number, after = self.number.get, self.after
+        fits, numbers, starts = self.fits, self.numbers, self.starts
+        end = 0
+        for mine, last in zip(text, self.text):
+            if mine != last:
+                break
+            end += 1
+        self.text = ""
+        del fits[end + 1:], numbers[end + 1:], starts[end + 1:]
+        for c in text[end:]:
+            start = end
+            end += 1
+            n = number(c)
+            if n is None:
+                n = self.add(c)
+            while n is None or not fits[start][n]:
+                start -= 1
+                if start < 0:
+                    raise ValueError("no piece fits; the model is not one of merges")
+                n = number(text[start:end])
+            fits.append(after[n])
+            numbers.append(n)
+            starts.append(start)
+        self.text = text
+        out = []
+        while end:
+            out.append(numbers[end])
+            end = starts[end]
+        coded = self.coded
+        return b"".join([coded[n] for n in reversed(out)])
+
+
 class Stream:
     """One text, fed in parts; gives pieces as they become final."""
 
@@ -186,6 +262,7 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.v, self.coded = vocabulary, Coded(vocabulary)
+        self.symbols = None if vocabulary.unigram else Symbols(vocabulary)
         self.wordwise = not any(SPACE in p.lstrip(SPACE) for p in vocabulary.pieces)
 
     def pieces(self, text: str) -> Iterator[str]:
@@ -194,23 +271,36 @@ class Encoder(dict):
         yield from stream.finish()
 
     def __missing__(self, word: str) -> bytes:
-        out = b"".join(map(self.coded.__getitem__, self.pieces(SPACE + word)))
+        text = SPACE + word
+        if self.symbols and len(text) <= TRACE_EVERY:
+            out = self.symbols(text)
+        else:
+            out = b"".join(map(self.coded.__getitem__, self.pieces(text)))
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = out
         return out
 
-    def __call__(self, text: str) -> bytes:
+    def words(self, text: str) -> list[str]:
         if not text:
-            return b""
+            return []
         text = text.replace(SPACE, " ")
-        if not self.wordwise:
-            return b"".join(map(self.coded.__getitem__, self.pieces(SPACE + text.replace(" ", SPACE))))
         words = text.split(" ")
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            words = list(spaced(words))
-        return b"".join(map(self.__getitem__, words))
+        return list(spaced(words)) if "  " in text or text[0] == " " or text[-1] == " " else words
+
+    def __call__(self, text: str) -> bytes:
+        return self.all([text])[0]
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text. New words are taken in order, so that each shares its front with the one before."""
+        if not self.wordwise:
+            spaced_out = (t.replace(SPACE, " ").replace(" ", SPACE) for t in texts)
+            return [b"".join(map(self.coded.__getitem__, self.pieces(SPACE + t))) if t else b"" for t in spaced_out]
+        listed = [self.words(t) for t in texts]
+        for word in sorted({w for ws in listed for w in ws if w not in self and len(w) <= CACHED_LENGTH}):
+            self[word]
+        return [b"".join(map(self.__getitem__, ws)) for ws in listed]
 
 
 @lru_cache(1)
@@ -254,7 +344,7 @@ def encoded(docs: DataFrame, model: str = MODEL, unigram: bool = False) -> DataF
         encode = encoder(model, unigram)
         decode = decoder(encode.v)
         for batch, texts in chunks(batches):
-            coded = [encode(t) for t in texts]
+            coded = encode.all(texts)
             ids = np.frombuffer(b"".join(coded), np.int32)
             counts = np.fromiter((len(c) // 4 for c in coded), np.int64, len(coded))
             offsets = np.concatenate(([0], np.cumsum(counts)))
