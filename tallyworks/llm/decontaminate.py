@@ -99,7 +99,7 @@ class Matcher:
         for at, starts in diagonals.items():
             item_id, item, k = self.items[at]
             m = len(item)
-            if (whole := next((s for s in starts if s >= 0 and text.startswith(item, s)), None)) is not None:
+            if (whole := min((s for s in starts if s >= 0 and text.startswith(item, s)), default=None)) is not None:
                 found.append((item_id, 0, whole + m))
                 continue
             best = (m + 1, 0)
