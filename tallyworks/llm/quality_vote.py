@@ -153,11 +153,24 @@ def train(docs: DataFrame, labels: DataFrame, params: VoteParams = VoteParams())
     return fit(x, np.asarray(got["label"])[order], params)
 
 
+# Products of blocks of other shapes differ in digits behind these.
+COSINE_DIGITS = 5
+
+
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Column numbers of the k largest rounded cosines of every row, ascending; of ties the smaller numbers."""
+    n = near.shape[1]
+    k = min(k, n)
+    # One whole number per cell that no other cell of the row has: the cosine, then the column counted backwards.
+    order = np.rint(near * 10**COSINE_DIGITS).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+    return np.sort(np.argpartition(-order, k - 1, axis=1)[:, :k], axis=1)
+
+
 def scored(docs: DataFrame, space: Space | None, params: VoteParams = VoteParams()) -> DataFrame:
     """(doc_id, score) of every row of docs: the share of label 1 in the votes of its nearest labelled rows.
 
-    Null and empty texts have a length term only and vote like all others; repeated rows repeat; ties among equally
-    near rows go to the smaller doc_id. Without labels every score is 0.5.
+    Null and empty texts have a length term only and vote like all others; repeated rows repeat. Cosines count with
+    COSINE_DIGITS digits, and ties among equally near rows go to the smaller doc_id. Without labels every score is 0.5.
     """
     held = docs.sparkSession.sparkContext.broadcast(space)
 
@@ -170,9 +183,8 @@ def scored(docs: DataFrame, space: Space | None, params: VoteParams = VoteParams
                 if s is None:
                     scores.append(np.full(len(part), 0.5))
                     continue
-                near = projected(part, s.axes) @ s.vectors.T
-                k = min(params.nearest, near.shape[1])
-                top = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1)
+                near = np.round(projected(part, s.axes) @ s.vectors.T, COSINE_DIGITS)
+                top = nearest(near, params.nearest)
                 vote = np.clip(np.take_along_axis(near, top, axis=1), 0, None).astype(float) ** params.power
                 scores.append((vote * s.labels[top] + 1e-9 * s.labels[top]).sum(axis=1) / (vote + 1e-9).sum(axis=1))
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.clip(np.concatenate(scores), 0, 1))], names=["doc_id", "score"])
