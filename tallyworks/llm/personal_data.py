@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .common import chunks, hash_sample, text_column
 
 KINDS = ("email", "ip", "card", "phone")
@@ -268,22 +269,30 @@ def beliefs(g: Graph, f: Field, params: FieldParams) -> np.ndarray:
 
 
 def train(docs: DataFrame, params: FieldParams = FieldParams()) -> Field:
-    """A field from the base spans of at most params.sample documents with digits or an @, taken in hash order."""
+    """A field from the base spans of at most params.sample documents with digits or an @, taken in hash order.
+
+    Documents are taken until they have more than params.units stretches; the last one is taken whole. What that cuts
+    off never reaches the driver.
+    """
     told = docs.select(text_column().alias("text")).filter(F.col("text").rlike("[0-9@]"))
     some = hash_sample(told, F.xxhash64("text"), "text", params.sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches):
-            for text in texts:
+        for batch, texts in chunks(batches):
+            for code, text in zip(batch.column("code").to_pylist(), texts):
                 g = graph([text], [base_spans(text)])
                 flat = lambda v, t=pa.int64(): pa.array([v.ravel().tolist()], pa.list_(t))
-                yield pa.record_batch([flat(g.label), flat(g.x, pa.float64()), flat(g.chain), flat(g.skip)], names=["label", "x", "chain", "skip"])
+                yield pa.record_batch([pa.array([code], pa.int64()), pa.array([len(g.label)], pa.int64()), flat(g.label), flat(g.x, pa.float64()), flat(g.chain), flat(g.skip)], names=["code", "n", "label", "x", "chain", "skip"])
 
-    rows = some.mapInArrow(run, "label array<long>, x array<double>, chain array<long>, skip array<long>").toArrow().to_pylist()
-    parts, shift, width = [], 0, len(figures("0", 0, 1))
-    for r in sorted(rows, key=lambda r: (r["x"], r["label"])):
-        if shift > params.units:
+    graphs = durable(some.withColumn("code", F.xxhash64("text")).mapInArrow(run, "code long, n long, label array<long>, x array<double>, chain array<long>, skip array<long>"))
+    units, last = 0, None
+    for r in graphs.select("code", "n").orderBy("code", "n").collect():
+        units, last = units + r.n, r.code
+        if units > params.units:
             break
+    rows = [] if last is None else graphs.filter(F.col("code") <= last).toArrow().to_pylist()
+    parts, shift, width = [], 0, len(figures("0", 0, 1))
+    for r in sorted(rows, key=lambda r: r["code"]):
         n = len(r["label"])
         edges = lambda e: np.array(e, np.int64).reshape(-1, 2) + shift  # noqa: E731,B023
         parts.append((np.array(r["label"], np.int64), np.array(r["x"], float).reshape(n, width), edges(r["chain"]), edges(r["skip"])))
