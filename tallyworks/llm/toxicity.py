@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .common import UNICODE, WordHasher, bounded_sample, chunks, mix, text_column
 
 
@@ -103,7 +104,11 @@ def fit(rows: list[tuple[np.ndarray, int]], params: FtrlParams) -> Weights:
 
 
 def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams()) -> Weights:
-    """Weights from labels (doc_id, label); rows are taken in hash order up to params.sample. Without labels all are 0."""
+    """Weights from labels (doc_id, label); rows are taken in hash order up to params.sample. Without labels all are 0.
+
+    Coordinates that fewer than params.seen_in of these rows hold have no weight; they are counted and left out before
+    the rows reach the driver, which gets at most 2^bits coordinates a row whatever the length of a text.
+    """
     some = bounded_sample(docs, labels, F.max("label"), params.sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +117,17 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
             offsets = np.searchsorted(at, np.arange(len(texts) + 1))
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(code.astype(np.int32)))], names=["doc_id", "label", "x"])
 
-    got = some.mapInArrow(run, "doc_id long, label int, x array<int>").toArrow()
+    listed = durable(some.mapInArrow(run, "doc_id long, label int, x array<int>"))
+    often = listed.select(F.explode("x").alias("code")).groupBy("code").count().filter(F.col("count") >= params.seen_in).select("code").toArrow()
+    among = np.zeros(1 << params.bits, bool)
+    among[np.asarray(often["code"])] = True
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [c[among[c]] for c in (np.asarray(v.values) for v in batch.column("x"))]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.int32()))], names=["doc_id", "label", "x"])
+
+    got = listed.mapInArrow(frequent, "doc_id long, label int, x array<int>").toArrow()
     order = np.argsort(mix(np.asarray(got["doc_id"]).astype(np.uint64)), kind="stable")
     x, y = got["x"].combine_chunks(), got["label"].to_pylist()
     return fit([(np.asarray(x[int(i)].values), y[i]) for i in order], params)
