@@ -82,52 +82,54 @@ def word_runs(text: Column) -> Column:
 
 
 def found_in_parts(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(id, level, key, first) of quoted passages whose runs of words were all said before.
+    """(id, level, key, part_first) of quoted passages whose runs of words were all said before.
 
-    first is the latest of the turns that said a run first, which is the message quoted unless others said all its
+    part_first is the latest of the messages that said a run first, which is the message quoted unless others said all its
     runs before. Quotes of fewer than RUN words have to be a whole line or sentence. Only conversations with such
     quotes are read again, and one row per run and conversation is joined.
     """
-    said = rows.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(F.split("body", r"\n\n+")).alias("text"))
+    said = rows.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").filter("turn is not null").select("conv_id", "turn", "id", F.explode(F.split("body", r"\n\n+")).alias("text"))
     short = F.filter(F.split("text", r"\n|(?<=[.!?])\s+"), lambda x: F.size(bare_words(x)) < RUN)
-    pieces = said.select("conv_id", "turn", F.explode(F.concat(F.array("text"), short)).alias("text"))
-    first = pieces.select("conv_id", "turn", F.explode(word_runs(F.col("text"))).alias("run")).groupBy("conv_id", "run").agg(F.min("turn").alias("first"))
+    pieces = said.select("conv_id", "turn", "id", F.explode(F.concat(F.array("text"), short)).alias("text"))
+    first = pieces.select("conv_id", "turn", "id", F.explode(word_runs(F.col("text"))).alias("run")).groupBy("conv_id", "run").agg(F.min(F.struct("turn", "id")).alias("first"))
     parts = asked.select("id", "conv_id", "turn", "level", "key", F.explode(F.split("text", LEFT_OUT)).alias("part"))
     wanted = parts.select("id", "conv_id", "turn", "level", "key", F.explode(word_runs(F.col("part"))).alias("run"))
-    met = wanted.join(first, ["conv_id", "run"], "left").withColumn("first", F.when(F.col("first") < F.col("turn"), F.col("first")))
+    met = wanted.join(first, ["conv_id", "run"], "left").withColumn("first", F.when(F.col("first.turn") < F.col("turn"), F.col("first")))
     return met.groupBy("id", "level", "key").agg(F.count("*").alias("n"), F.count("first").alias("found"), F.max("first").alias("first")).filter("n = found").select("id", "level", "key", F.col("first").alias("part_first"))
 
 
 def parents(rows: DataFrame) -> DataFrame:
-    """(id, n_quotes, n_linked, parent_turn) of every message with quotes.
+    """(id, n_quotes, n_linked, parent) of every message with quotes; parent is the (turn, id) of the message replied to.
 
     Every quoted passage is joined to the earliest message of the conversation that says it unquoted, whole or, where
-    none does, in parts. The parent is the latest such message among the outermost quotes that are found. One row per
-    passage and conversation is joined, so that passages said very often add nothing.
+    none does, in parts. The parent is the latest such message among the outermost quotes that are found; of messages
+    of one turn the one stored first said it. One row per passage and conversation is joined, so that passages said
+    very often add nothing.
     """
-    said = rows.select("conv_id", "turn", F.explode("own").alias("key")).groupBy("conv_id", "key").agg(F.min("turn").alias("first"))
+    said = rows.filter("turn is not null").select("conv_id", "turn", "id", F.explode("own").alias("key")).groupBy("conv_id", "key").agg(F.min(F.struct("turn", "id")).alias("first"))
     asked = rows.select("id", "conv_id", "turn", F.explode("quoted").alias("q")).select("id", "conv_id", "turn", F.col("q.level").alias("level"), F.col("q.key").alias("key"), F.col("q.text").alias("text"))
-    met = durable(asked.join(said, ["conv_id", "key"], "left").withColumn("first", F.when(F.col("first") < F.col("turn"), F.col("first"))))
+    met = durable(asked.join(said, ["conv_id", "key"], "left").withColumn("first", F.when(F.col("first.turn") < F.col("turn"), F.col("first"))))
     open_ = met.filter("first is null and conv_id is not null and turn is not null")
     if open_.limit(1).count():
         met = met.join(durable(found_in_parts(rows, open_)), ["id", "level", "key"], "left").withColumn("first", F.coalesce("first", "part_first"))
-    nearest = F.max(F.when(F.col("first").isNotNull(), F.struct((-F.col("level")).alias("l"), F.col("first").alias("turn"))))
-    return met.groupBy("id").agg(F.count("*").alias("n_quotes"), F.count("first").alias("n_linked"), nearest["turn"].alias("parent_turn"))
+    nearest = F.max(F.when(F.col("first").isNotNull(), F.struct((-F.col("level")).alias("l"), F.col("first"))))
+    return met.groupBy("id").agg(F.count("*").alias("n_quotes"), F.count("first").alias("n_linked"), nearest["first"].alias("parent"))
 
 
-def roots(links: DataFrame) -> DataFrame:
-    """(conv_id, turn, root_turn, depth) of every message that replies; links has (conv_id, turn, parent_turn).
+def roots(replies: DataFrame) -> DataFrame:
+    """(id, root_turn, depth) of every message that replies; replies has (id, parent), which turns make acyclic.
 
-    Pointer jumping: each round doubles the stretch of the thread that is known, written to the shared folder.
+    Pointer jumping over rows: each round doubles the stretch of the thread that is known, written to the shared folder.
     """
-    at = durable(links.groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("root_turn")).withColumn("depth", F.lit(1).cast("long")))
+    at = durable(replies.select("id", F.col("parent.id").alias("root"), F.col("parent.turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")))
     while True:
-        up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("further"), F.col("depth").alias("more"))
-        step = durable(at.join(up, ["conv_id", "root_turn"], "left").select(
-            "conv_id", "turn", F.coalesce("further", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")))
+        up = at.select(F.col("id").alias("root"), F.col("root").alias("further"), F.col("root_turn").alias("further_turn"), F.col("depth").alias("more"))
+        step = durable(at.join(up, "root", "left").select(
+            "id", F.coalesce("further", "root").alias("root"), F.coalesce("further_turn", "root_turn").alias("root_turn"),
+            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")))
         at = step.drop("moved")
         if not step.filter("moved").limit(1).count():
-            return at
+            return at.drop("root")
 
 
 def linked_conversations(messages: DataFrame) -> DataFrame:
@@ -135,16 +137,16 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     root_turn, depth, n_quotes, n_linked), position counting from 1 in each conversation.
 
     Threads follow each other by the turn of their first message, messages in a thread by turn, so that a reply
-    comes after its parent. A message without a quote that is found starts a thread. Null texts have empty bodies;
-    rows without conv_id or turn link with nothing; repeated rows repeat, in a fixed order; other columns are not
-    read. Quotes of later messages, or of nothing that was said, are dropped from bodies all the same.
+    comes after its parent. A message without a quote that is found starts a thread, also where another message of its
+    turn replies. Null texts have empty bodies; rows without conv_id or turn link with nothing; repeated rows repeat, in
+    a fixed order; other columns are not read. Quotes of later messages, or of nothing that was said, are dropped from
+    bodies all the same.
     """
     rows = durable(parsed(messages))
     found = durable(parents(rows))
-    replies = rows.join(found.filter("parent_turn is not null"), "id").select("conv_id", "turn", "parent_turn")
-    threads = roots(replies)
-    named = rows.drop("own", "quoted").join(found, "id", "left").join(threads, ["conv_id", "turn"], "left").withColumns({
-        "root_turn": F.coalesce("root_turn", "turn"), "depth": F.coalesce("depth", F.lit(0)), "n_quotes": F.coalesce("n_quotes", F.lit(0)), "n_linked": F.coalesce("n_linked", F.lit(0)), "text_hash": F.xxhash64("role", "body")})
+    threads = roots(found.filter("parent is not null").select("id", "parent"))
+    named = rows.drop("own", "quoted").join(found, "id", "left").join(threads, "id", "left").withColumns({
+        "parent_turn": F.col("parent.turn"), "root_turn": F.coalesce("root_turn", "turn"), "depth": F.coalesce("depth", F.lit(0)), "n_quotes": F.coalesce("n_quotes", F.lit(0)), "n_linked": F.coalesce("n_linked", F.lit(0)), "text_hash": F.xxhash64("role", "body")})
     order = [F.col(c) for c in ("root_turn", "turn", "role", "text_hash", "id")]
-    placed = number_rows(named, ["conv_id"], order, "position")
+    placed = number_rows(named.drop("parent"), ["conv_id"], order, "position")
     return placed.select("conv_id", F.col("position").cast("long").alias("position"), "turn", "role", "body", "parent_turn", "root_turn", "depth", "n_quotes", "n_linked")
