@@ -16,11 +16,11 @@ from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import text_column
+from .common import hash_sample, text_column
 from .rule_ledger import bind
 
 # Common fragments of the four languages; what they cover of a candidate is dictionary coverage.
@@ -32,14 +32,16 @@ HASH_WORDS = "commit|sha|md5|hash|digest|checksum|revision|etag|tree|uuid|guid"
 # Public forms of issued tokens; the first has dotted segments.
 KNOWN = (r"eyJ[A-Za-z0-9_-]{6,}(?:\.[A-Za-z0-9_-]{2,}){1,4}", r"SG\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])", r"gh[opsur]_[A-Za-z0-9]{20,}",
          r"xox[abprs]-[A-Za-z0-9-]{10,}", r"(?:sk|pk|rk)[_-](?:live|test|proj)[_-][A-Za-z0-9_-]{8,}", r"AIza[A-Za-z0-9_-]{30,}", r"glpat-[A-Za-z0-9_-]{16,}")
-# The part before a value that is assigned to a key word; its short checks spare most positions the rest.
-_ASSIGNED = rf"(?<=[=:\s\"'])(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{KEY_WORDS})[A-Za-z0-9_-]{{0,16}}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)"
-_RUN, _EDGE = "[A-Za-z0-9_/+-]", "[&!~.](?=[A-Za-z0-9])"
+# The part before a value that is assigned to a key word; its short checks spare most positions the rest. What may
+# stand before a match has to be bounded: names go on for 64 characters after the key word, gaps are 4 wide.
+_ASSIGNED = rf"(?<=[=:\s\"'])(?<=[=:]\s{{0,4}}[\"']?)(?<=(?i:{KEY_WORDS})[A-Za-z0-9_-]{{0,64}}[\"']?\s{{0,4}}[=:]\s{{0,4}}[\"']?)"
+# Repeated groups are recursion in the pattern engine, so what follows the first 64 pieces of a run is one class of characters.
+_RUN, _EDGE, _LONG = "[A-Za-z0-9_/+-]", "[&!~.](?=[A-Za-z0-9])", "[A-Za-z0-9_/+&!~.-]"
 CANDIDATE = "|".join((
-    rf"{_ASSIGNED}(?<=[\"'])[^\"'\r\n]{{1,256}}(?=[\"'])",
+    rf"{_ASSIGNED}(?<=[\"'])[^\"'\r\n]++(?=[\"'])",
     rf"{_ASSIGNED}[^\s\"'`<>,;(){{}}\[\]]*[^\s\"'`<>,;(){{}}\[\].:?=]",
     rf"(?<![A-Za-z0-9])(?:{'|'.join(KNOWN)})",
-    rf"(?<!{_RUN})(?=(?:{_RUN}|{_EDGE}){{16}}){_RUN}+(?:{_EDGE}{_RUN}+){{0,64}}(?:={{1,2}}(?![A-Za-z0-9\"']))?",
+    rf"(?<!{_RUN})(?=(?:{_RUN}|{_EDGE}){{16}}){_RUN}+(?:{_EDGE}{_RUN}+){{0,64}}(?:{_EDGE}{_LONG}+(?<={_RUN}))?(?:={{1,2}}(?![A-Za-z0-9\"']))?",
 ))
 UUID = "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 BLOCK = 256
@@ -139,6 +141,7 @@ def examples() -> list[tuple[float, str]]:
         out += [(1.0, f'{name} {mark}"{v}"') for v in (short, some(plain, r.randint(8, 14)), some(plain + "&!~.", r.randint(20, 40)), some(hexes, r.choice((32, 40, 64))))]
         out += [(1.0, f"{name}{mark}{v} and") for v in (some(plain + "!~&", 12) + "7a", some(plain, 32))]
         out += [(1.0, f"{word()} {v} {word()}") for v in (f"eyJ{some(plain, 20)}.{some(plain, 24)}.{some(plain, 12)}", f"AKIA{some('ABCDEFGHIJ234567', 16)}", f"ghp_{some(plain, 36)}")]
+        out += [(1.0, f'{name}{mark}"{" ".join(word() for _ in range(r.randint(4, 60)))} {r.randrange(99)}"')]
         out += [(1.0, f"{word()} {some(plain, 3)}{r.randrange(100)}{some(plain, 14)}&{some(plain, 8)}!{some(plain, 9)}4 {word()}")]
         h = some(hexes, 32)
         out += [(0.0, f"{c} {v} {word()}") for c, v in (("commit", some(hexes, 40)), ("", some(hexes, 40)), (word(), some(hexes, r.choice((32, 64)))), ("sha256:", some(hexes, 64)), ("id", f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"))]
@@ -154,9 +157,9 @@ def example_findings(spark: SparkSession) -> DataFrame:
 def labelled_findings(docs: DataFrame, params: ForestParams) -> DataFrame:
     """(label, features) of at most params.sample findings of each class, chosen by hash over all documents, and the examples."""
     found = docs.select(F.explode(candidates(text_column())).alias("f")).select(silver(F.col("f")).cast("double").alias("label"), "f.*").filter("label is not null")
-    kept = found.select("label", *NAMES, "c").dropDuplicates(["label", "c"])
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("c"), "c"))
-    return durable(kept.withColumn("place", place).filter(F.col("place") <= params.sample).drop("place").unionByName(example_findings(docs.sparkSession)))
+    kept = durable(found.select("label", *NAMES, "c").dropDuplicates(["label", "c"]))
+    some = [hash_sample(kept.filter(F.col("label") == label), F.xxhash64("c"), "c", params.sample) for label in (0.0, 1.0)]
+    return durable(some[0].unionByName(some[1]).unionByName(example_findings(docs.sparkSession)))
 
 
 def split_tree(text: str) -> list:
