@@ -285,7 +285,7 @@ def instrument_usage(spark, folder):
     return _model(spark, folder)["Instruments"]
 
 
-@query("L20_cleaning_log", f"""WITH {LOTS}, ins AS (SELECT DISTINCT 'INS-' || (user_id % 12) AS name FROM events),
+LOG_SQL = f"""WITH {LOTS}, ins AS (SELECT DISTINCT 'INS-' || (user_id % 12) AS name FROM events),
 x AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE "Missing_Reviewer") AS miss, COUNT(*) FILTER (WHERE "Self_Reviewed") AS self,
              COUNT(*) FILTER (WHERE "Reviewer_Conflict") AS conflict, COUNT(*) FILTER (WHERE "Past_Due_Date") AS late,
              COUNT(*) FILTER (WHERE "Product" = 'N/A (EM Sample)') + COUNT(*) FILTER (WHERE "Sampling_Point" = 'N/A (Product Sample)')
@@ -310,7 +310,10 @@ UNION ALL SELECT 15, 'Nulls', 'Lots', 'Labelled blank dispositions', (SELECT COU
 UNION ALL SELECT 16, 'Flagged - not changed', 'Lots', 'No test samples', (SELECT COUNT(*) FROM lots WHERE "Samples_Tested" = 0)
 UNION ALL SELECT 17, 'Renaming', 'Specs', 'Renamed the column that holds locations', located FROM sp
 UNION ALL SELECT 18, 'Flagged - not changed', 'Specs', 'Specification not in use', unused FROM sp
-UNION ALL SELECT 19, 'Flagged - not changed', 'Instruments', 'No results linked', (SELECT COUNT(*) FROM ins WHERE name NOT IN (SELECT "Instrument" FROM res))""")
+UNION ALL SELECT 19, 'Flagged - not changed', 'Instruments', 'No results linked', (SELECT COUNT(*) FROM ins WHERE name NOT IN (SELECT "Instrument" FROM res))"""
+
+
+@query("L20_cleaning_log", LOG_SQL)
 def cleaning_log(spark, folder):
     raw = _raw(spark, folder)
     return op.cleaning_log(raw, op.laboratory_model(raw, keep=_counted), left_out=4)

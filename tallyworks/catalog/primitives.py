@@ -14,10 +14,13 @@ from ..operators import deviations as dev
 from ..operators import laboratory as lab
 from ..operators import spc
 from ..operators.retention import LATENESS
+from ..session import durable
 from ..sources import projection as src
 from ..sources import readers, sinks
 from . import deviations as dev_sql
+from . import laboratory as lab_sql
 from . import spc as spc_sql
+from .laboratory import even
 from .registry import big, davg, drate, dsum, query, rnd
 
 Tables = Callable[[str], DataFrame]
@@ -143,15 +146,62 @@ def spc_csv_export(spark, folder):
 @query("S9_compact_export", """SELECT COUNT(*) AS rows, COUNT(DISTINCT event_id) AS ids,
 CAST(SUM(CASE WHEN event_id % 47 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS corrected FROM events""")
 def compact_export(spark, folder):
-    results = lab.result_fact(lab.clean_tables(src.laboratory_tables(spark, folder)))
-    dims = lab.dimension_values(results)
+    results = durable(lab.result_fact(lab.clean_tables(src.laboratory_tables(spark, folder))).select(*lab.COMPACT))
     path = sinks.scratch_path(spark, "compact")
-    sinks.write_compact(lab.dictionary_encode(results, dims), dims, {"units": lab.group_first(results, "Analysis", "Units")}, path)
-    stored = spark.read.schema("id bigint, flags bigint").json(f"{path}/rows")
+    sinks.write_compact(lab.compact_tables(results), path)
+    stored = readers.read_compact(spark, path, lab.DIMS, ("rows",))["rows"]
     return stored.agg(one().alias("rows"), F.count_distinct("id").alias("ids"),
                       numeric.count_where(F.col("flags").bitwiseAND(128) > 0).alias("corrected"))
 
 
+_FLAG_LIST = ", ".join(f'"{f}"' for f in lab.FLAGS)
+_DIM_LIST = ", ".join(f'"{d}"' for d in lab.DIMS)
+
+
+@query("S9_compact_decoded", f"""WITH {lab_sql.RES}, low AS (SELECT DATE_TRUNC('day', MIN("Login_Date")) AS start FROM res)
+SELECT "Result_ID", start + TO_SECONDS(CAST(ROUND({even("DATE_DIFF('second', start, Login_Date) / 86400", 2)} * 86400) AS BIGINT)) AS "Login_Date",
+       {_DIM_LIST}, "Result", CAST("Alert_Limit" AS DOUBLE) AS "Alert_Limit", CAST("Action_Limit" AS DOUBLE) AS "Action_Limit", "TAT_Days",
+       {_FLAG_LIST}, "Audit_Corrections" > 0 AS "Corrected", "Units", MIN("Cleanroom_Grade") OVER (PARTITION BY "Location") AS "Cleanroom_Grade"
+FROM res CROSS JOIN low""")
+def compact_decoded(spark, folder):
+    results = durable(lab.result_fact(lab.clean_tables(src.laboratory_tables(spark, folder))).select(*lab.COMPACT))
+    path = sinks.scratch_path(spark, "compact")
+    sinks.write_compact(lab.compact_tables(results), path)
+    return lab.dictionary_decode(readers.read_compact(spark, path, lab.DIMS, ("rows", "dims", "start", "units", "grades")))
+
+
+@query("S9_compact_side_tables", f"""WITH {lab_sql.INV},
+{lab_sql.AUDIT.removeprefix(lab_sql.RES).lstrip(', ' + chr(10))},
+lg AS ({lab_sql.LOG_SQL})
+SELECT 'start' AS part, CAST(CAST(MIN("Login_Date") AS DATE) AS VARCHAR) AS a, NULL AS b, NULL AS c, NULL AS d, NULL AS e FROM res
+UNION ALL SELECT 'units', "Analysis", MIN("Units"), NULL, NULL, NULL FROM res GROUP BY "Analysis"
+UNION ALL SELECT 'grades', "Location", MIN("Cleanroom_Grade"), NULL, NULL, NULL FROM res GROUP BY "Location"
+UNION ALL SELECT 'investigations', CAST("Investigation_ID" AS VARCHAR), CAST("Result_ID" AS VARCHAR), CAST(CAST("Opened" AS DATE) AS VARCHAR), CAST(CAST("Investigation_Days" * 10 AS BIGINT) AS VARCHAR), NULLIF("CAPA_ID", 'None') FROM inv
+UNION ALL SELECT 'audit', CAST("Result_ID" AS VARCHAR), CAST(CAST("Old_Value" AS BIGINT) AS VARCHAR), CAST(CAST("New_Value" AS BIGINT) AS VARCHAR), "Changed_By", CAST(CAST("Changed_On" AS DATE) AS VARCHAR) FROM aud
+UNION ALL SELECT 'log', category, action, CAST(rows_affected AS VARCHAR), NULL, NULL FROM lg""")
+def compact_side_tables(spark, folder):
+    raw = src.laboratory_tables(spark, folder)
+    keep = tuple(dict.fromkeys((*lab.COMPACT, *lab.COUNTED, "Investigation_Days")))
+    model = lab.laboratory_model(raw, keep=lambda results: durable(results.select(*keep)))
+    path = sinks.scratch_path(spark, "compact")
+    sinks.write_compact(lab.compact_tables(
+        model["Results"], model["Investigations"], model["Audit_Trail"], lab.cleaning_log(raw, model, left_out=4)), path)
+    t = readers.read_compact(spark, path, lab.DIMS, ("start", "units", "grades", "investigations", "audit", "log"))
+    whole = lambda c: F.rint(c).cast("bigint")
+    columns = {
+        "start": ["start"], "units": ["Analysis", "Units"], "grades": ["Location", "Cleanroom_Grade"],
+        "investigations": ["Investigation_ID", "Result_ID", "Opened", whole(F.col("Investigation_Days") * 10), "CAPA_ID"],
+        "audit": ["Result_ID", whole(F.col("Old_Value")), whole(F.col("New_Value")), "Changed_By", "Changed_On"],
+        "log": ["category", "action", "rows_affected"],
+    }
+    out = None
+    for name, chosen in columns.items():
+        cells = [F.col(c) if isinstance(c, str) else c for c in chosen] + [F.lit(None)] * (5 - len(chosen))
+        part = t[name].select(F.lit(name).alias("part"), *[c.cast("string").alias(x) for c, x in zip(cells, "abcde")])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("S10_filtered_export", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000")
 def filtered_export(spark, folder):
     path = sinks.scratch_path(spark, "filtered")

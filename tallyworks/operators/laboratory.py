@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import elapsed_days, elapsed_hours, elapsed_seconds, month_start, to_minute
 from ..functions.numeric import count_where, exact_mean, pack_bits, rate, rounded, rounded_even
 from ..functions.ordering import number_rows
+from ..session import durable
 from .spc import histogram
 
 SLA_DAYS = 4
@@ -451,26 +452,92 @@ def data_dictionary(model: dict[str, DataFrame], descriptions: Mapping[str, str]
 # ------------------------------------------------------- encoding, profiling
 
 
+# Value lists of at most this many rows are numbered by one window and sent to every task; longer ones are cut into
+# slices and joined.
+LIST_ROWS = 100_000
+
+
 def dimension_values(results: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
-    """(dim, value, index): position of every distinct value in its sorted list, from 0."""
+    """(dim, value, index): position of every distinct value in its sorted list, from 0.
+
+    The distinct values are stored and counted first: short lists need no range sort.
+    """
     pairs = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims])
-    distinct = results.select(F.explode(pairs).alias("e")).select("e.*").filter(F.col("value").isNotNull()).distinct()
-    return number_rows(distinct, ["dim"], [F.col("value")], "_n").select("dim", "value", (F.col("_n") - 1).alias("index"))
+    distinct = durable(results.select(F.explode(pairs).alias("e")).select("e.*").filter(F.col("value").isNotNull()).distinct())
+    if distinct.count() <= LIST_ROWS:
+        numbered = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("dim").orderBy("value")).cast("bigint"))
+    else:
+        numbered = number_rows(distinct, ["dim"], [F.col("value")], "_n", stored=True)
+    return numbered.select("dim", "value", (F.col("_n") - 1).alias("index"))
+
+
+def _looked_up(rows: DataFrame, values: DataFrame, dims: tuple[str, ...], by: str, into: str) -> DataFrame:
+    """rows with, per dimension, the other side of its value list; short lists are sent to every task, in one pass."""
+    short = values.count() <= LIST_ROWS
+    for d in dims:
+        side = values.filter(F.col("dim") == d).select(F.col(by).alias(d if by == "value" else f"{d}_index"), F.col(into).alias(f"{d}_index" if by == "value" else d))
+        rows = rows.join(F.broadcast(side) if short else side, d if by == "value" else f"{d}_index", "left")
+    return rows
+
+
+def start_day(results: DataFrame) -> DataFrame:
+    """One row with the day of the first login."""
+    return results.agg(F.to_date(F.min("Login_Date")).alias("start"))
 
 
 def dictionary_encode(results: DataFrame, values: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
     """Compact rows: value indexes, day offset from the first login day (2 dp) and eight flags in one number."""
-    start = results.select(F.to_date(F.min("Login_Date"))).scalar().cast("timestamp_ntz")
+    start = start_day(results).scalar().cast("timestamp_ntz")
     out = results.withColumn("day", rounded_even(elapsed_seconds(start, F.col("Login_Date")) / 86400, 2)).withColumn(
         "flags", pack_bits([*[F.col(c) for c in FLAGS], F.col("Audit_Corrections") > 0]))
-    for d in dims:
-        index = values.filter(F.col("dim") == d).select(F.col("value").alias(d), F.col("index").alias(f"{d}_index"))
-        out = out.join(index, d, "left")
-    return out.select(
+    return _looked_up(out, values, dims, "value", "index").select(
         F.col("Result_ID").alias("id"), "day", *[f"{d}_index" for d in dims], F.col("Result").alias("result"),
         F.col("Alert_Limit").alias("alert"), F.col("Action_Limit").alias("action"), "flags", F.col("TAT_Days").alias("tat"))
 
 
+# What the compact form and its decoder read of the fact table.
+COMPACT = ("Result_ID", "Login_Date", "Result", "Alert_Limit", "Action_Limit", "TAT_Days", "Audit_Corrections", "Units", "Cleanroom_Grade", *DIMS, *FLAGS)
+
+
+def compact_tables(
+    results: DataFrame, investigations: DataFrame | None = None, audit: DataFrame | None = None, log: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """The compact export: encoded rows, value lists, start day, units, grades and the side tables that are given.
+
+    ``results`` is read five times and should be a stored table.
+    """
+    dims = dimension_values(results)
+    out = {
+        "rows": dictionary_encode(results, dims), "dims": dims, "start": start_day(results),
+        "units": group_first(results, "Analysis", "Units").select("Analysis", "Units"),
+        "grades": group_first(results, "Location", "Cleanroom_Grade").select("Location", "Cleanroom_Grade"),
+    }
+    if investigations is not None:
+        out["investigations"] = investigations.select("Investigation_ID", "Result_ID", "Opened", "Investigation_Days", F.nullif("CAPA_ID", F.lit("None")).alias("CAPA_ID"))
+    if audit is not None:
+        out["audit"] = audit.select("Result_ID", "Old_Value", "New_Value", "Changed_By", "Changed_On")
+    if log is not None:
+        out["log"] = log.select("category", "action", "rows_affected")
+    return out
+
+
+def dictionary_decode(t: dict[str, DataFrame], dims: tuple[str, ...] = DIMS) -> DataFrame:
+    """The fact columns that a compact export holds, from its tables as read back.
+
+    Indexes become values, the day offset a time (to a hundredth of a day), bits become flags; units and grades come
+    from the lists of analyses and locations.
+    """
+    start = t["start"].select(F.col("start").cast("timestamp_ntz")).scalar()
+    rows = _looked_up(t["rows"], t["dims"], dims, "index", "value")
+    bit = lambda i: F.getbit("flags", F.lit(i)) == 1
+    login = F.timestamp_add("SECOND", F.rint(F.col("day") * 86400).cast("bigint"), start)
+    named = rows.join(t["units"], "Analysis", "left").join(t["grades"], "Location", "left")
+    return named.select(
+        F.col("id").alias("Result_ID"), login.alias("Login_Date"), *dims, F.col("result").alias("Result"),
+        F.col("alert").alias("Alert_Limit"), F.col("action").alias("Action_Limit"), F.col("tat").alias("TAT_Days"),
+        *[bit(i).alias(f) for i, f in enumerate(FLAGS)], bit(len(FLAGS)).alias("Corrected"), "Units", "Cleanroom_Grade")
+
+
 def group_first(df: DataFrame, key: str, value: str) -> DataFrame:
     """Smallest non-null value of each key, and how many different ones there are (one is expected)."""
     return df.groupBy(key).agg(F.min(value).alias(value), F.count_distinct(value).alias("n_values"))
@@ -506,25 +573,50 @@ def date_order(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.agg(*entry).select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("e")).select("e.*")
 
 
+# Bits of a row's hash that are added up, so that a sum holds 2^39 rows.
+SUM_BITS = 24
+
+
+def _column_facts(df: DataFrame) -> list:
+    """Per column (filled, flat, sum, xor); the last two are its fingerprint.
+
+    Every cell is hashed together with its whole row, so equal columns have equal fingerprints in any order of the
+    rows, and a plan for c columns has c entries.
+    """
+    name = lambda f: F.col(f"`{f.name}`")
+    cell = lambda f: F.xxhash64("_row", F.coalesce(F.xxhash64(name(f)), F.lit(0)), name(f).isNull())
+    whole = df.select("*", F.xxhash64(*[name(f) for f in df.schema.fields]).alias("_row"))
+    facts = [F.struct(
+        F.count(name(f)).alias("filled"), F.min(name(f)).eqNullSafe(F.max(name(f))).alias("flat"),
+        F.sum(cell(f).bitwiseAND(F.lit((1 << SUM_BITS) - 1))).alias("sum"), F.bit_xor(cell(f)).alias("xor")).alias(f"c{i}")
+        for i, f in enumerate(df.schema.fields)]
+    return list(whole.agg(F.count(F.lit(1)).alias("n"), *facts).first())
+
+
 def dead_columns(df: DataFrame) -> DataFrame:
-    """(column, reason, other): empty, constant, or an exact copy of an earlier column; one aggregate over the table."""
+    """(column, reason, other): empty, constant, or an exact copy of an earlier column, of which the first is named.
+
+    One aggregate finds columns of one type with equal fingerprints. Only these are compared cell by cell, each with
+    the first of its group; those that differ from it (their fingerprints collide) are compared among themselves.
+    """
     fields = df.schema.fields
-    pairs = [(a.name, b.name) for i, a in enumerate(fields) for b in fields[i + 1:] if a.dataType == b.dataType]
-    stats = [F.struct(F.count(f"`{f.name}`").alias("filled"), F.min(f"`{f.name}`").eqNullSafe(F.max(f"`{f.name}`")).alias("flat"))
-             .alias(f"s_{i}") for i, f in enumerate(fields)]
-    same = [F.bool_and(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))).alias(f"p_{i}") for i, (a, b) in enumerate(pairs)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *stats, *same)
-    entry = lambda c, why, other: F.struct(F.lit(c).alias("column"), F.lit(why).alias("reason"), F.lit(other).cast("string").alias("other"))
-    found = []
-    for i, f in enumerate(fields):
-        s = F.col(f"s_{i}")
-        found.append(F.when(s["filled"] == 0, entry(f.name, "empty", None)).when(
-            (s["filled"] == F.col("n")) & s["flat"], entry(f.name, "constant", None)))
-    position = {f.name: i for i, f in enumerate(fields)}
-    for i, (a, b) in enumerate(pairs):
-        # Empty columns equal each other; they are reported as empty only.
-        found.append(F.when(F.col(f"p_{i}") & (F.col(f"s_{position[a]}")["filled"] > 0), entry(b, "copy", a)))
-    return row.select(F.explode(F.array_compact(F.array(*found))).alias("e")).select("e.*")
+    rows, *facts = _column_facts(df)
+    found, groups = [], {}
+    for f, s in zip(fields, facts):
+        if s.filled == 0:
+            found.append((f.name, "empty", None))
+            continue
+        if s.filled == rows and s.flat:
+            found.append((f.name, "constant", None))
+        groups.setdefault((f.dataType.json(), s.filled, s.sum, s.xor), []).append(f.name)
+    open_ = [g for g in groups.values() if len(g) > 1]
+    while open_:
+        pairs = [(g[0], c) for g in open_ for c in g[1:]]
+        same = df.agg(*[F.bool_and(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+        found += [(b, "copy", a) for (a, b), equal in zip(pairs, same) if equal]
+        other = {b for (_, b), equal in zip(pairs, same) if not equal}
+        open_ = [left for g in open_ if len(left := [c for c in g if c in other]) > 1]
+    return df.sparkSession.createDataFrame(found, "column string, reason string, other string")
 
 
 # ------------------------------------------------------------ report tables

@@ -61,15 +61,7 @@ def write_laboratory_report(report: dict[str, DataFrame], path: str) -> None:
     """Every table as parquet, and the compact encoded form of the results."""
     for name, df in report.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    results = report["Results"]
-    dims = lab.dimension_values(results)
-    sinks.write_compact(lab.dictionary_encode(results, dims), dims, {
-        "units": lab.group_first(results, "Analysis", "Units"),
-        "grades": lab.group_first(results, "Location", "Cleanroom_Grade"),
-        "investigations": report["Investigations"].select("Investigation_ID", "Result_ID", "Opened", "Investigation_Days", "CAPA_ID"),
-        "audit": report["Audit_Trail"].select("Result_ID", "Old_Value", "New_Value", "Changed_By", "Changed_On"),
-        "log": report["Cleaning_Log"],
-    }, f"{path}/compact")
+    sinks.write_compact(lab.compact_tables(report["Results"], report["Investigations"], report["Audit_Trail"], report["Cleaning_Log"]), f"{path}/compact")
 
 
 def deviation_report(

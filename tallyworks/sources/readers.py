@@ -72,3 +72,10 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     """Empty text becomes null in every text column."""
     text = {f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "varchar", "char")}
     return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if c in text else F.col(c) for c in df.columns])
+
+
+def read_compact(spark: SparkSession, path: str, dims: tuple[str, ...], tables: tuple[str, ...] = tuple(schemas.COMPACT)) -> dict[str, DataFrame]:
+    """The tables of a compact export under ``path``."""
+    indexes = "".join(f", {d}_index bigint" for d in dims)
+    ddl = {t: schemas.COMPACT[t] + (indexes if t == "rows" else "") for t in tables}
+    return {t: spark.read.schema(ddl[t]).json(f"{path}/{t}") for t in tables}

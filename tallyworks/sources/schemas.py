@@ -78,3 +78,13 @@ STAR = {
                 "l_shipdate timestamp_ntz",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
+
+# The compact export of laboratory results; ``rows`` has one index column per dimension besides these.
+COMPACT = {
+    "rows": "id bigint, day double, result double, alert double, action double, flags bigint, tat double",
+    "dims": "dim string, value string, index bigint", "start": "start date",
+    "units": "Analysis string, Units string", "grades": "Location string, Cleanroom_Grade string",
+    "investigations": "Investigation_ID bigint, Result_ID bigint, Opened date, Investigation_Days double, CAPA_ID string",
+    "audit": "Result_ID bigint, Old_Value double, New_Value double, Changed_By string, Changed_On date",
+    "log": "category string, action string, rows_affected bigint",
+}

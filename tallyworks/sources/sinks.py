@@ -97,9 +97,7 @@ def spc_table(wide: DataFrame, replicates: int, places: int) -> DataFrame:
         fixed_text(F.col("mean"), places + 2).alias("mean"), fixed_text(F.col("range"), places + 2).alias("range"))
 
 
-def write_compact(encoded: DataFrame, dims: DataFrame, extras: Mapping[str, DataFrame], path: str) -> None:
-    """Encoded rows, their value lists and side tables as JSON lines in sibling folders."""
-    plain(encoded).write.mode("overwrite").json(f"{path}/rows")
-    dims.write.mode("overwrite").json(f"{path}/dims")
-    for name, df in extras.items():
+def write_compact(tables: Mapping[str, DataFrame], path: str) -> None:
+    """The tables of a compact export as JSON lines in sibling folders."""
+    for name, df in tables.items():
         plain(df).write.mode("overwrite").json(f"{path}/{name}")

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyworks.operators import laboratory as op
@@ -61,3 +62,30 @@ def test_dead_columns(spark):
                                "id int, s string, e string, copy int, v double")
     got = {tuple(r) for r in op.dead_columns(df).collect()}
     assert got == {("e", "empty", None), ("copy", "copy", "id")}
+
+
+def test_copies_among_three_hundred_columns(spark):
+    columns = [((F.col("id") * (i + 1)) % 97).alias(f"c{i}") for i in range(290)]
+    df = spark.range(500).select(
+        *columns, F.col("id").alias("n0"), F.lit(None).cast("bigint").alias("blank"), F.lit(None).cast("bigint").alias("blank2"),
+        F.when(F.col("id") != 77, F.col("id")).alias("n0 but one"), ((F.col("id") * 3) % 97).alias("c2 again"), F.lit(5).cast("bigint").alias("five"),
+        ((F.col("id") * 3) % 97).alias("c2 third"), ((F.col("id") * 3) % 97).cast("string").alias("c2 text"), F.reverse(F.col("id").cast("string")).cast("bigint").alias("mixed"))
+    # The same values in another order are no copy.
+    got = sorted(map(tuple, op.dead_columns(df).collect()), key=str)
+    want = [(f"c{i}", "copy", f"c{i % 97}") for i in range(97, 290)] + [("c2 again", "copy", "c2"), ("c2 third", "copy", "c2")]
+    want += [("blank", "empty", None), ("blank2", "empty", None), *((c, "constant", None) for c in ("c96", "c193", "five"))]
+    assert got == sorted(want, key=str)
+
+
+def test_colliding_fingerprints_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(op, "_column_facts", lambda df: [3, *(Row(filled=3, flat=False, sum=0, xor=0) for _ in df.columns)])
+    df = spark.createDataFrame([(1, 2, 1, 2, 2), (2, 1, 2, 1, 1), (3, 3, 3, 3, 3)], "a int, b int, c int, d int, e int")
+    assert sorted(map(tuple, op.dead_columns(df).collect())) == [("c", "copy", "a"), ("d", "copy", "b"), ("e", "copy", "b")]
+
+
+def test_value_lists_of_any_length_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 7, f"v{i % 5}") for i in range(60)] + [(None, "v0")], "a int, b string")
+    short = sorted(map(tuple, op.dimension_values(df, ("a", "b")).collect()))
+    monkeypatch.setattr(op, "LIST_ROWS", 0)
+    assert sorted(map(tuple, op.dimension_values(df, ("a", "b")).collect())) == short
+    assert [x[2] for x in short] == [*range(7), *range(5)]
