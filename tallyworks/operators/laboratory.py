@@ -543,26 +543,58 @@ def group_first(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(value).alias(value), F.count_distinct(value).alias("n_values"))
 
 
+# Whole numbers within fewer buckets of this many values than a column has rows per ROWS_PER_BUCKET are counted in bitmaps.
+BUCKET_VALUES, ROWS_PER_BUCKET = 1 << 15, 64
+
+
+def _counting_number(kind: T.DataType, column: Column) -> Column | None:
+    """A column of whole numbers, days or booleans as a long; None for other types."""
+    if isinstance(kind, T.IntegralType):
+        return column.cast("bigint")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("bigint")
+    return column.cast("int").cast("bigint") if isinstance(kind, T.BooleanType) else None
+
+
+def _distinct_in_bitmaps(df: DataFrame, number: Column, low: int) -> DataFrame:
+    """One row with the exact number of different values, from bitmaps that merge before the shuffle; one column is read."""
+    place = number - F.lit(low)
+    buckets = df.filter(number.isNotNull()).groupBy(F.bitmap_bucket_number(place).alias("_b")).agg(
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(place))).alias("_n"))
+    return buckets.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("distinct"))
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: rows, nulls, exact distinct values, values with outer blanks, range, whether one value only.
 
     Ranges are those of the column's type, numbers by size and dates by time, and are given as text. All but the
-    distinct counts come from one aggregate that moves no values; those are counted on (column, value) pairs, which
-    combine before the shuffle, so that a value that fills a third of a column costs one row per task.
+    distinct counts come from one aggregate that moves no values. Whole numbers, days and booleans that lie close enough
+    are counted in bitmaps, of which a task sends one per bucket; the other columns on (column, value) pairs, which
+    combine before the shuffle, so that a value that fills a third of a column costs one row per task. df is evaluated
+    once for the aggregate, once per column of bitmaps, reading that column only, and once for the pairs.
     """
     name = lambda c: F.col(f"`{c}`")
     text = lambda c: name(c).cast("string")
+    fields = df.schema.fields
+    numbers = {i: n for i, f in enumerate(fields) if (n := _counting_number(f.dataType, name(f.name))) is not None}
     entry = [F.struct(
-        F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), count_where(name(c).isNull()).alias("nulls"),
-        count_where(text(c) != F.trim(text(c))).alias("padded"), F.min(name(c)).cast("string").alias("low"),
-        F.max(name(c)).cast("string").alias("high"),
-        F.coalesce(F.min(name(c)) == F.max(name(c)), F.lit(False)).alias("one_value")).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    wide = df.agg(*entry).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(df.columns))])).alias("e")).select("e.*")
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("value")) for i, c in enumerate(df.columns)])
-    names = F.array(*map(F.lit, df.columns))
-    distinct = df.select(F.explode(pairs).alias("e")).select("e.*").filter("value is not null").distinct().groupBy("i").agg(
-        F.count(F.lit(1)).alias("distinct")).select(F.get(names, F.col("i")).alias("column"), "distinct")
-    return wide.join(distinct, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+        F.lit(f.name).alias("column"), F.count(F.lit(1)).alias("rows"), count_where(name(f.name).isNull()).alias("nulls"),
+        count_where(text(f.name) != F.trim(text(f.name))).alias("padded"), F.min(name(f.name)).cast("string").alias("low"),
+        F.max(name(f.name)).cast("string").alias("high"),
+        F.coalesce(F.min(name(f.name)) == F.max(name(f.name)), F.lit(False)).alias("one_value"),
+        *[(f(numbers[i]) if i in numbers else F.lit(None).cast("bigint")).alias(a) for f, a in ((F.min, "first"), (F.max, "last"))],
+    ).alias(f"c{i}") for i, f in enumerate(fields)]
+    facts = list(df.agg(*entry).first()) if fields else []
+    near = {i for i in numbers if facts[i].first is not None and (facts[i].last - facts[i].first) // BUCKET_VALUES <= facts[i].rows // ROWS_PER_BUCKET}
+    rest = [i for i in range(len(fields)) if i not in near]
+    parts = [_distinct_in_bitmaps(df, numbers[i], facts[i].first).select(F.lit(i).alias("i"), "distinct") for i in sorted(near)]
+    if rest:
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), text(fields[i].name).alias("value")) for i in rest])
+        parts.append(df.select(F.explode(pairs).alias("e")).select("e.*").filter("value is not null").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("distinct")))
+    known = "i int, `column` string, `rows` bigint, nulls bigint, padded bigint, low string, high string, one_value boolean"
+    wide = df.sparkSession.createDataFrame([(i, *x[:7]) for i, x in enumerate(facts)], known)
+    counts = reduce(DataFrame.unionByName, parts) if parts else wide.select("i", F.lit(0).cast("bigint").alias("distinct")).limit(0)
+    return wide.join(counts, "i", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0))).drop("i")
 
 
 def date_order(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Cleaning rules on hand-made rows."""
 
-from datetime import datetime
+import random
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -89,3 +90,16 @@ def test_value_lists_of_any_length_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(op, "LIST_ROWS", 0)
     assert sorted(map(tuple, op.dimension_values(df, ("a", "b")).collect())) == short
     assert [x[2] for x in short] == [*range(7), *range(5)]
+
+
+def test_profile_counts_every_kind_of_column(spark, monkeypatch):
+    r = random.Random(8)
+    kinds = "dense bigint, below int, sparse bigint, edge bigint, day date, yes boolean, text string, ratio double, none int, one int"
+    rows = [(r.randrange(300), r.randrange(-70_000, 70_000) if i % 3 else None, r.choice((-(2**63), 2**63 - 1, 5, None)), 32768 * r.randrange(-2, 3),
+             date(2020, 1, 1) + timedelta(r.randrange(90)), r.choice((True, None)), r.choice(("a", " a", "b ")), r.choice((0.5, 1.5)), None, 7) for i in range(400)]
+    df = spark.createDataFrame(rows, kinds).repartition(5)
+    want = {f.name: (400, sum(x[i] is None for x in rows), len({x[i] for x in rows} - {None})) for i, f in enumerate(df.schema.fields)}
+    for per_bucket in (64, 1, 10**9):
+        monkeypatch.setattr(op, "ROWS_PER_BUCKET", per_bucket)
+        assert {x.column: (x.rows, x.nulls, x["distinct"]) for x in op.column_profile(df).collect()} == want
+    assert {x["distinct"] for x in op.column_profile(df.limit(0)).collect()} == {0}
