@@ -543,8 +543,9 @@ def group_first(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(value).alias(value), F.count_distinct(value).alias("n_values"))
 
 
-# Whole numbers within fewer buckets of this many values than a column has rows per ROWS_PER_BUCKET are counted in bitmaps.
-BUCKET_VALUES, ROWS_PER_BUCKET = 1 << 15, 64
+# Whole numbers within fewer buckets of this many values than a column has rows per ROWS_PER_BUCKET are counted in bitmaps,
+# where there are rows enough for one more pass over a column to pay.
+BUCKET_VALUES, ROWS_PER_BUCKET, BITMAP_ROWS = 1 << 15, 64, 1_000_000
 
 
 def _counting_number(kind: T.DataType, column: Column) -> Column | None:
@@ -585,7 +586,8 @@ def column_profile(df: DataFrame) -> DataFrame:
         *[(f(numbers[i]) if i in numbers else F.lit(None).cast("bigint")).alias(a) for f, a in ((F.min, "first"), (F.max, "last"))],
     ).alias(f"c{i}") for i, f in enumerate(fields)]
     facts = list(df.agg(*entry).first()) if fields else []
-    near = {i for i in numbers if facts[i].first is not None and (facts[i].last - facts[i].first) // BUCKET_VALUES <= facts[i].rows // ROWS_PER_BUCKET}
+    many = bool(facts) and facts[0].rows >= BITMAP_ROWS
+    near = {i for i in numbers if many and facts[i].first is not None and (facts[i].last - facts[i].first) // BUCKET_VALUES <= facts[i].rows // ROWS_PER_BUCKET}
     rest = [i for i in range(len(fields)) if i not in near]
     parts = [_distinct_in_bitmaps(df, numbers[i], facts[i].first).select(F.lit(i).alias("i"), "distinct") for i in sorted(near)]
     if rest:

@@ -99,7 +99,8 @@ def test_profile_counts_every_kind_of_column(spark, monkeypatch):
              date(2020, 1, 1) + timedelta(r.randrange(90)), r.choice((True, None)), r.choice(("a", " a", "b ")), r.choice((0.5, 1.5)), None, 7) for i in range(400)]
     df = spark.createDataFrame(rows, kinds).repartition(5)
     want = {f.name: (400, sum(x[i] is None for x in rows), len({x[i] for x in rows} - {None})) for i, f in enumerate(df.schema.fields)}
-    for per_bucket in (64, 1, 10**9):
+    for least, per_bucket in ((1_000_000, 64), (1, 64), (1, 1), (1, 10**9)):
+        monkeypatch.setattr(op, "BITMAP_ROWS", least)
         monkeypatch.setattr(op, "ROWS_PER_BUCKET", per_bucket)
         assert {x.column: (x.rows, x.nulls, x["distinct"]) for x in op.column_profile(df).collect()} == want
     assert {x["distinct"] for x in op.column_profile(df.limit(0)).collect()} == {0}
