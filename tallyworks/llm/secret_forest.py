@@ -130,7 +130,7 @@ def silver(c: Column) -> Column:
 
 def examples() -> list[tuple[float, str]]:
     """(label, text) with one candidate each: forms that a corpus may lack. The same in every run."""
-    r = random.Random(20)
+    r, phrases = random.Random(20), random.Random(21)
     some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
     plain, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
     word = lambda: "".join(r.choice(FRAGMENTS) for _ in range(r.randint(2, 4)))
@@ -141,7 +141,8 @@ def examples() -> list[tuple[float, str]]:
         out += [(1.0, f'{name} {mark}"{v}"') for v in (short, some(plain, r.randint(8, 14)), some(plain + "&!~.", r.randint(20, 40)), some(hexes, r.choice((32, 40, 64))))]
         out += [(1.0, f"{name}{mark}{v} and") for v in (some(plain + "!~&", 12) + "7a", some(plain, 32))]
         out += [(1.0, f"{word()} {v} {word()}") for v in (f"eyJ{some(plain, 20)}.{some(plain, 24)}.{some(plain, 12)}", f"AKIA{some('ABCDEFGHIJ234567', 16)}", f"ghp_{some(plain, 36)}")]
-        out += [(1.0, f'{name}{mark}"{" ".join(word() for _ in range(r.randint(4, 60)))} {r.randrange(99)}"')]
+        out += [(1.0, f'{name}{mark}"{" ".join(phrases.choice(FRAGMENTS) + phrases.choice(FRAGMENTS) for _ in range(phrases.randint(4, 60)))} {phrases.randrange(99)}"')]
+        out += [(1.0, f"{name}{mark.strip()}{short} then")]
         out += [(1.0, f"{word()} {some(plain, 3)}{r.randrange(100)}{some(plain, 14)}&{some(plain, 8)}!{some(plain, 9)}4 {word()}")]
         h = some(hexes, 32)
         out += [(0.0, f"{c} {v} {word()}") for c, v in (("commit", some(hexes, 40)), ("", some(hexes, 40)), (word(), some(hexes, r.choice((32, 64)))), ("sha256:", some(hexes, 64)), ("id", f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"))]
