@@ -2,7 +2,8 @@
 
 Sums of doubles depend on the order in which partitions arrive. Numbers are
 therefore summed as decimals, which gives the same bits whatever the
-partitioning and after any task retry; nothing is rounded before the sum.
+partitioning and after any task retry; only digits behind the twelfth are
+rounded before the sum.
 """
 
 from __future__ import annotations
