@@ -58,6 +58,11 @@ class ForestParams:
     threshold: float = 0.5
 
 
+def figures() -> dict[str, Column]:
+    """The features of a candidate as columns of its row."""
+    return {name: F.col(name) for name in NAMES}
+
+
 def share(part: Column, whole: Column) -> Column:
     return part.cast("double") / F.greatest(whole, F.lit(1))
 
@@ -110,12 +115,13 @@ def candidates(text: Column) -> Column:
         return F.transform(found, one)
 
     def split(found: Column) -> Column:
-        return bind(F.split(text, CANDIDATE, -1), lambda gaps: bind(running(F.transform(found, lambda c, i: F.length(c) + F.length(F.get(gaps, i)))), lambda starts: build(found, gaps, starts)))
+        gaps = F.when(F.size(found) > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(text))
+        return bind(gaps, lambda gaps: bind(running(F.transform(found, lambda c, i: F.length(c) + F.length(F.get(gaps, i)))), lambda starts: build(found, gaps, starts)))
 
     return bind(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), split)
 
 
-def silver(c: Column) -> Column:
+def silver(c: Column | dict[str, Column]) -> Column:
     """The label of a finding without one of its own, else null.
 
     1: mixed characters assigned to a key word, tokens of known forms. 0: plain words and plain numbers (quoted words
@@ -157,10 +163,15 @@ def example_findings(spark: SparkSession) -> DataFrame:
 
 def labelled_findings(docs: DataFrame, params: ForestParams) -> DataFrame:
     """(label, features) of at most params.sample findings of each class, chosen by hash over all documents, and the examples."""
-    found = docs.select(F.explode(candidates(text_column())).alias("f")).select(silver(F.col("f")).cast("double").alias("label"), "f.*").filter("label is not null")
-    kept = durable(found.select("label", *NAMES, "c").dropDuplicates(["label", "c"]))
+    return labelled(docs.select(F.explode(candidates(text_column())).alias("f")).select("f.*"), params)
+
+
+def labelled(found: DataFrame, params: ForestParams) -> DataFrame:
+    """labelled_findings of candidates that were found before; one that comes several times counts once, with its smallest figures."""
+    own = found.withColumn("label", silver(figures()).cast("double")).filter("label is not null")
+    kept = durable(own.groupBy("label", "c").agg(F.min(F.struct(*NAMES)).alias("f")).select("label", "f.*", "c"))
     some = [hash_sample(kept.filter(F.col("label") == label), F.xxhash64("c"), "c", params.sample) for label in (0.0, 1.0)]
-    return durable(some[0].unionByName(some[1]).unionByName(example_findings(docs.sparkSession)))
+    return durable(some[0].unionByName(some[1]).unionByName(example_findings(found.sparkSession)))
 
 
 def split_tree(text: str) -> list:
@@ -189,7 +200,7 @@ def train(findings: DataFrame, params: ForestParams) -> list:
     return [split_tree(t.toDebugString) for t in model.trees]
 
 
-def votes(trees: list, f: Column) -> Column:
+def votes(trees: list, f: Column | dict[str, Column]) -> Column:
     """Share of the trees that take the finding f for a secret."""
     def tree(node) -> Column:
         return F.lit(node) if isinstance(node, float) else F.when(f[node[0]] <= node[1], tree(node[2])).otherwise(tree(node[3]))
@@ -197,30 +208,48 @@ def votes(trees: list, f: Column) -> Column:
     return reduce(lambda a, b: a + b, map(tree, trees), F.lit(0.0)) / max(len(trees), 1)
 
 
-def judged(text: Column, trees: list) -> Column:
-    return F.transform(candidates(text), lambda f: F.struct(f["c"].alias("c"), f["start"].alias("start"), votes(trees, f).alias("score")))
+def judged(found: Column, trees: list) -> Column:
+    """(c, start, score) of every candidate in found."""
+    return F.transform(found, lambda f: F.struct(f["c"].alias("c"), f["start"].alias("start"), votes(trees, f).alias("score")))
 
 
 def secrets(docs: DataFrame, params: ForestParams = ForestParams(), findings: DataFrame | None = None) -> DataFrame:
     """(doc_id, start, end, score) of every secret of every row; start and end in code points, end exclusive.
 
-    findings holds labelled features (see labelled_findings) and defaults to those of docs. Null and empty texts
-    have none; repeated rows repeat theirs; a class without labelled findings is learned from
-    the built-in examples.
+    findings holds labelled features (see labelled_findings) and defaults to those of docs; candidates are then stored,
+    so that texts are searched once for learning and judging. Null and empty texts have none; repeated rows repeat
+    theirs; a class without labelled findings is learned from the built-in examples.
     """
-    trees = train(labelled_findings(docs, params) if findings is None else findings, params)
-    found = docs.select(F.col("doc_id"), F.explode(F.filter(judged(text_column(), trees), lambda f: f["score"] >= params.threshold)).alias("f"))
-    return found.select("doc_id", F.col("f.start").cast("long").alias("start"), (F.col("f.start") + F.length("f.c")).cast("long").alias("end"), F.col("f.score").alias("score"))
+    found = docs.select("doc_id", F.explode(candidates(text_column())).alias("f")).select("doc_id", "f.*")
+    if findings is None:
+        found = durable(found)
+        findings = labelled(found, params)
+    scored = found.withColumn("score", votes(train(findings, params), figures())).filter(F.col("score") >= params.threshold)
+    return scored.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("c")).cast("long").alias("end"), "score")
 
 
 def redacted(docs: DataFrame, params: ForestParams = ForestParams(), mark: str = "[secret]", findings: DataFrame | None = None) -> DataFrame:
-    """docs with every secret in text replaced by mark; n_chars, where there is one, follows the text."""
-    trees = train(labelled_findings(docs, params) if findings is None else findings, params)
-
-    def rebuilt(gaps: Column) -> Column:
-        shown = F.transform(judged(F.col("text"), trees), lambda f: F.when(f["score"] >= params.threshold, F.lit(mark)).otherwise(f["c"]))
-        return bind(shown, lambda cs: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(cs, i), F.lit("")))), ""))
+    """docs with every secret in text replaced by mark; n_chars, where there is one, follows the text.
 
-    text = F.when(F.col("text").isNull() | ~F.col("text").rlike(CANDIDATE), F.col("text")).otherwise(bind(F.split("text", CANDIDATE, -1), rebuilt))
-    out = docs.withColumn("text", text)
+    Without findings, rows are stored with their candidates, which costs one more copy of the texts on the shared folder
+    and saves searching them again; only texts with a secret are then cut anew.
+    """
+    own = "found"
+    while own.lower() in {c.lower() for c in docs.columns}:
+        own += "_"
+    rows = docs.withColumn(own, candidates(text_column()))
+    if findings is None:
+        rows = durable(rows)
+        findings = labelled(rows.select(F.explode(own).alias("f")).select("f.*"), params)
+    trees = train(findings, params)
+
+    def rebuilt(gaps: Column, shown: Column) -> Column:
+        return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(shown, i), F.lit("")))), "")
+
+    def cut(found: Column) -> Column:
+        shown = F.transform(found, lambda f: F.when(f["score"] >= params.threshold, F.lit(mark)).otherwise(f["c"]))
+        return bind(F.split("text", CANDIDATE, -1), lambda gaps: bind(shown, lambda cs: rebuilt(gaps, cs)))
+
+    text = bind(judged(F.col(own), trees), lambda found: F.when(F.exists(found, lambda f: f["score"] >= params.threshold), cut(found)).otherwise(F.col("text")))
+    out = rows.withColumn("text", text).drop(own)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
