@@ -190,7 +190,8 @@ def reassembled(stored: DataFrame) -> DataFrame:
     parts = stored.filter("segment is not null").groupBy(F.coalesce("origin", "id").alias("id")).agg(
         *(head(c) for c in ("kind", "refers", "digest", "key")), F.max("total").alias("total"), F.max("segment").alias("last"), F.count("*").alias("n"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["block"]))
+    # Joined as strings, whose bytes Spark takes as they are: one copy, whatever the number of segments.
+    joined = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")
     parts = parts.withColumn("block", joined)
     checked = F.when((F.length("block") == F.col("total")) & (F.col("last") == F.col("n")), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), "id")).cast("binary"))
     return whole.unionByName(parts.select("kind", "id", "refers", "digest", "key", checked.alias("block")))
@@ -219,9 +220,10 @@ def payloads(messages: DataFrame) -> DataFrame:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every response and revisit in folder.
 
-    A payload whose digest differs from its header, a missing segment or a wrong length is an error.
+    A payload whose digest differs from its header, a missing segment or a wrong length is an error. The figures of the
+    records, without their blocks, are stored, so that archives are read once for responses and revisits.
     """
-    found = payloads(reassembled(read_records(spark, folder)))
+    found = durable(payloads(reassembled(read_records(spark, folder))))
     same = F.concat(F.lit("sha1:"), "payload_digest") == F.col("digest")
     checked = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("digest differs in "), "id")).cast("string"))
     response = found.filter("kind = 'response'").select("id", F.col("key").alias("page_id"), "payload_bytes", checked.alias("payload_digest"))

@@ -209,6 +209,16 @@ def test_a_missing_segment_is_an_error(spark, tmp_path):
         warc.reassembled(stored.filter("coalesce(segment, 0) != 3")).collect()
 
 
+def test_segments_are_cut_inside_characters_and_joined_in_order(spark, tmp_path):
+    texts = ["é😀" * 20_000, "x" + "é😀" * 20_000, "".join(chr(32 + i % 3000) for i in range(90_000)), "short"]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "a"), warc.WarcParams(segment_bytes=101, chunk_bytes=37))
+    whole = {r.key: warc.unchunked(bytes(r.block).partition(b"\r\n\r\n")[2]) for r in warc.reassembled(warc.read_records(spark, str(tmp_path / "a"))).collect()}
+    assert whole == {i: t.encode() for i, t in enumerate(texts)}
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read(spark, str(tmp_path / "a")).collect()}
+    assert got == {i: (len(t.encode()), warc.base32_digest(t.encode())) for i, t in enumerate(texts)}
+
+
 # 6 secrets
 
 
