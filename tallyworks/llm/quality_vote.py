@@ -1,8 +1,9 @@
 """Quality by nearest-neighbour voting among labelled documents in a latent-semantic space.
 
-Terms of a document are trigrams of its character-shape runs and its repetitions. A truncated SVD of a bounded
-sample of labelled rows gives the latent axes. The sample's unit vectors are broadcast; every document is compared
-with all of them in blocks of exact cosine products, and its nearest ones vote with their similarity.
+Terms of a document are its words, hashed and weighted by their rarity, trigrams of its character-shape runs, its
+repetitions and its length. A truncated SVD of a bounded sample of labelled rows gives the latent axes. The sample's
+unit vectors are broadcast; every document is compared with all of them in blocks of exact cosine products, and its
+nearest ones vote with their similarity.
 """
 
 from __future__ import annotations
@@ -22,15 +23,23 @@ SHAPES = 16
 TRIGRAMS = SHAPES ** 3
 # Repeated words, repeated neighbours, repeated windows, repeated lines, then the logarithm of the length in steps.
 REPEATS, LENGTHS = 4, 16
-TERMS = TRIGRAMS + REPEATS + LENGTHS
+FORMS = TRIGRAMS + REPEATS + LENGTHS
+# Words fall on this many terms by hash, so that no text and no vocabulary makes a longer list.
+WORD_TERMS = 1 << 13
+TERMS = FORMS + WORD_TERMS
 
 
 @dataclass(frozen=True)
 class VoteParams:
-    """sample bounds the labelled rows; axes the latent dimensions, nearest the voters of a document."""
+    """sample bounds the labelled rows; axes the latent dimensions, nearest the voters of a document.
+
+    forms and words weigh the two groups of terms against each other; with 0 a group has no part.
+    """
 
     sample: int = 4096
     axes: int = 48
+    forms: float = 1.0
+    words: float = 1.0
     nearest: int = 24
     power: float = 8.0
     block: int = 512
@@ -73,7 +82,10 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, n)
     codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     cls = shapes()[codes]
-    run = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1])))
+    edge = np.concatenate(([True], cls[1:] != cls[:-1]))
+    # A text that starts with a line break does not go on with the break behind the text before it.
+    edge[np.cumsum(lengths)[:-1]] = True
+    run = np.flatnonzero(edge)
     kind, owner = cls[run].astype(np.int64), np.searchsorted(np.cumsum(lengths), run, side="right")
     tri = kind[:-2] * SHAPES * SHAPES + kind[1:-1] * SHAPES + kind[2:]
     same = owner[2:] == owner[:-2]
@@ -97,8 +109,10 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     share = np.sqrt(counts / np.maximum(base, 1))
     r, d = np.nonzero(share)
     size = np.minimum(np.log2(words + 1).astype(np.int64), LENGTHS - 1)
-    return (np.concatenate((at, d, np.arange(n))), np.concatenate((term, TRIGRAMS + r, TRIGRAMS + REPEATS + size)),
-            np.concatenate((np.sqrt(count / total[at]), share[r, d], np.full(n, 0.3))).astype(np.float32))
+    held, times = np.unique(doc * WORD_TERMS + (h % np.uint64(WORD_TERMS)).astype(np.int64), return_counts=True)
+    by, word = held // WORD_TERMS, held % WORD_TERMS
+    return (np.concatenate((at, d, np.arange(n), by)), np.concatenate((term, TRIGRAMS + r, TRIGRAMS + REPEATS + size, FORMS + word)),
+            np.concatenate((np.sqrt(count / total[at]), share[r, d], np.full(n, 0.3), np.sqrt(times / words[by]))).astype(np.float32))
 
 
 @dataclass(frozen=True)
@@ -119,19 +133,32 @@ def projected(texts: list[str], axes: np.ndarray) -> np.ndarray:
     return unit(np.add.reduceat(rows, np.searchsorted(at, np.arange(len(texts))), axis=0))
 
 
+def scales(x: np.ndarray, params: VoteParams) -> np.ndarray:
+    """Factor of every term: that of its group, for words times their rarity (1 where two rows hold it, 0 where all or fewer do)."""
+    rows = len(x)
+    held = np.count_nonzero(x[:, FORMS:], axis=0)
+    rarity = np.where(held > 1, np.log(rows / np.maximum(held, 1)) / max(np.log(rows / 2), 1e-9), 0)
+    return np.concatenate((np.full(FORMS, params.forms), params.words * rarity)).astype(np.float32)
+
+
 def fit(x: np.ndarray, labels: np.ndarray, params: VoteParams) -> Space:
-    """Truncated SVD by seeded random projections and two power steps."""
+    """Truncated SVD by seeded random projections and two power steps; the axes hold the scales of the terms. Changes x."""
+    scale = scales(x, params)
+    x *= scale
     k = min(params.axes, *x.shape)
     q = np.random.default_rng(params.seed).standard_normal((x.shape[1], min(k + 16, *x.shape))).astype(np.float32)
     for _ in range(3):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, v = np.linalg.svd(x @ q, full_matrices=False)
     axes = (q @ v[:k].T).astype(np.float32)
-    return Space(axes, unit(x @ axes), labels.astype(np.float32))
+    return Space(axes * scale[:, None], unit(x @ axes), labels.astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, params: VoteParams = VoteParams()) -> Space | None:
-    """The space of labels (doc_id, label), rows taken in hash order up to params.sample; None without labels."""
+    """The space of labels (doc_id, label), rows taken in hash order up to params.sample; None without labels.
+
+    Lists of terms are gathered, no texts: at most TERMS entries for a text of any length.
+    """
     some = bounded_sample(docs, labels, F.min("label"), params.sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
