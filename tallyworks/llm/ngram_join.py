@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -81,8 +81,8 @@ def fingerprints(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
-def profiles(docs: DataFrame, params: JoinParams) -> DataFrame:
-    """(doc_id, n, fp1, fp2) of every row, and rows with `heavy` tokens: hashes that at least one in HEAVY_SHARE sets of a batch holds."""
+def profiles(docs: DataFrame, params: JoinParams, code: Column) -> DataFrame:
+    """(doc_id, code, n, fp1, fp2) of every row, and rows with `heavy` tokens: hashes that at least one in HEAVY_SHARE sets of a batch holds."""
     k = params.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,14 +96,15 @@ def profiles(docs: DataFrame, params: JoinParams) -> DataFrame:
             often = c >= max(HEAVY_LEAST, sets // HEAVY_SHARE)
             if not often.any():
                 return None
-            return pa.record_batch([pa.nulls(often.sum(), pa.int64()), pa.array(c[often]), pa.array(u[often].view(np.int64)), pa.nulls(often.sum(), pa.int64()), pa.array([True] * int(often.sum()))], names=names)
+            none = pa.nulls(often.sum(), pa.int64())
+            return pa.record_batch([none, none, pa.array(c[often]), pa.array(u[often].view(np.int64)), none, pa.array([True] * int(often.sum()))], names=names)
 
-        names = ["doc_id", "n", "fp1", "fp2", "heavy"]
+        names = ["doc_id", "code", "n", "fp1", "fp2", "heavy"]
         seen: set = set()
         for batch, texts in chunks(batches):
             tokens, sizes = shingles(hasher, texts, k)
             fp1, fp2 = fingerprints(tokens, sizes)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes), pa.array(fp1), pa.array(fp2), pa.array([False] * len(texts))], names=names)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("code"), pa.array(sizes), pa.array(fp1), pa.array(fp2), pa.array([False] * len(texts))], names=names)
             new = np.array([(key not in seen, seen.add(key))[0] for key in zip(fp1.tolist(), fp2.tolist())])
             held.append(tokens[np.repeat(new, sizes)])
             sets += int(new.sum())
@@ -114,8 +115,8 @@ def profiles(docs: DataFrame, params: JoinParams) -> DataFrame:
         if (rows := heavy()) is not None:
             yield rows
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    return source.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, heavy boolean")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), code.alias("code"), text_column().alias("text"))
+    return source.mapInArrow(run, "doc_id long, code long, n long, fp1 long, fp2 long, heavy boolean")
 
 
 def pack(part: np.ndarray, parts: int, tokens: np.ndarray, node: np.ndarray, fp1: np.ndarray, fp2: np.ndarray, n: np.ndarray, freq: np.ndarray | None) -> pa.RecordBatch | None:
@@ -336,16 +337,13 @@ def links(nodes: DataFrame, params: JoinParams) -> DataFrame:
     return found.union(verified(second, nodes, params.percent))
 
 
-def join_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs.
+def grouped(docs: DataFrame, params: JoinParams, code: Column, first: Column) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, code, n, fp1, fp2) of every row, and (fp1, fp2, c) of every set that is not empty.
 
-    component_id is the smallest doc_id that links reach. Rows without words or text have no shingles and stand
-    alone, as do rows without a doc_id (component null). Rows that repeat a doc_id are rows of their own. Other
-    columns of docs are not read; an empty table gives no rows. Shingles compare by 64-bit hashes.
+    c is the least of ``first``, an expression on the rows, over all rows that links reach.
     """
-    spark = docs.sparkSession
-    seen = durable(profiles(docs, params))
-    rows = seen.filter(~F.col("heavy")).select("doc_id", "n", "fp1", "fp2")
+    seen = durable(profiles(docs, params, code))
+    rows = seen.filter(~F.col("heavy")).drop("heavy")
     sets = rows.agg(F.count("*")).first()[0]
     # At most 2 * HEAVY_SHARE times the mean set size: the sum of a token's counts is at least this share of all sets.
     often = seen.filter("heavy").groupBy("fp1").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(HEAVY_LEAST, sets // (2 * HEAVY_SHARE)))
@@ -354,10 +352,20 @@ def join_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     nodes = durable(shared_tokens(docs, heavy, max(4, -(-chars // RANGE_CHARS)), params))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     label = components(links(nodes.select("node", "n", "tokens", "freqs"), params))
-    keys = rows.filter("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("least"))
+    keys = rows.filter("n > 0").groupBy("fp1", "fp2").agg(F.min(first).alias("least"))
     linked = keys.join(nodes.join(label, "node").select("fp1", "fp2", "component"), ["fp1", "fp2"], "left")
     least = linked.filter("component is not null").groupBy("component").agg(F.min("least").alias("c"))
-    keys = linked.join(least, "component", "left").select("fp1", "fp2", F.coalesce("c", "least").alias("c"))
+    return rows, linked.join(least, "component", "left").select("fp1", "fp2", F.coalesce("c", "least").alias("c"))
+
+
+def join_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs.
+
+    component_id is the smallest doc_id that links reach. Rows without words or text have no shingles and stand
+    alone, as do rows without a doc_id (component null). Rows that repeat a doc_id are rows of their own. Other
+    columns of docs are not read; an empty table gives no rows. Shingles compare by 64-bit hashes.
+    """
+    rows, keys = grouped(docs, params, F.lit(0).cast("long"), F.col("doc_id"))
     return rows.join(keys, ["fp1", "fp2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"),
@@ -365,7 +373,23 @@ def join_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
 
 
 def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """The rows of docs without those that another row of the same component precedes (by doc_id)."""
-    groups = join_components(docs, params)
-    dropped = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    """One row of docs for every component, and all rows without words.
+
+    The row with the smallest doc_id stays (none counts as largest), of equal ids the one with the smaller hash of its
+    text, of rows equal in both the one with the smallest other columns. So a text that shares its id with a copy of
+    another stays, and copies without an id and repeated rows go. Columns are those of docs; an empty table gives none.
+    """
+    text_hash = F.xxhash64(text_column())
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "code")
+    rows, keys = grouped(docs, params, text_hash, place)
+    # Rows of one id and text are in one component, so that what happens to them is decided once for all.
+    alike = rows.filter("n > 0").groupBy("fp1", "fp2", "doc_id", "code").agg(F.count("*").alias("times"))
+    decided = alike.join(keys, ["fp1", "fp2"]).withColumn("stays", place == F.col("c")).filter(~F.col("stays") | (F.col("times") > 1))
+    decided = durable(decided.select(F.col("doc_id").alias("_of_id"), F.col("code").alias("_of_text"), F.col("stays").alias("_stays")))
+    names = docs.columns
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_of_id")) & (text_hash == F.col("_of_text"))
+    once = docs.join(decided, same, "left_anti")
+    if not decided.filter("_stays").limit(1).count():
+        return once
+    repeated = docs.join(decided.filter("_stays"), same).groupBy("_of_id", "_of_text").agg(F.min(F.struct(*names)).alias("_row"))
+    return once.unionByName(repeated.select("_row.*"))

@@ -12,7 +12,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from tallyworks.llm import decontaminate, personal_data, quality_vote, quotations, secret_forest, toxicity
+from tallyworks.llm import decontaminate, ngram_join, personal_data, quality_vote, quotations, secret_forest, toxicity
 
 from .cases import frame
 
@@ -251,3 +251,26 @@ def test_training_takes_documents_in_hash_order(spark):
     a, b = personal_data.train(docs, few), personal_data.train(docs.repartition(7, "text"), few)
     assert np.allclose(a.unary, b.unary)
     assert personal_data.spans(frame(spark), a).count() == frame(spark).count()
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows that share an id, lack one or repeat, against a choice row by row."""
+    r = random.Random(31)
+    bases = [" ".join(f"w{b}x{i}" for i in range(60)) for b in range(6)]
+    texts = [*bases, *(b.replace("x5 ", "y5 ", 1) for b in bases), "", None, " \n"]
+    data = [(r.choice((None, 1, 2, 3, 4, 5)), r.choice(texts), r.choice(("en", "de")), r.choice((None, "s")), i % 2) for i in range(80)]
+    data += [(None, "only without id " * 9, "en", None, 0)] * 2
+    docs = frame(spark, data)
+    got = sorted(map(repr, map(tuple, ngram_join.one_of_each(docs, ngram_join.JoinParams(words=5, percent=80)).collect())))
+    code = {row.text: row.h for row in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    groups: dict = {}
+    want = []
+    for row in data:
+        if not (row[1] or "").split():
+            want.append(repr(row))
+            continue
+        groups.setdefault(min(x for x in texts + [row[1]] if x and len(set(x.split()) ^ set(row[1].split())) <= 2), []).append(row)
+    least = lambda row: (row[0] is None, row[0] or 0, code[row[1]], row[2], row[3] is not None, row[3] or "", row[4])
+    want += [repr(min(rows, key=least)) for rows in groups.values()]
+    assert got == sorted(want)
+    assert len(groups) == 7
