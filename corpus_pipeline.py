@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages over documents; part of the llm subpackage.
 
 STAGES lists (name, function). Each function takes (spark, docs, folder of the tables) and works on all rows the
-stage before kept; all but the last return the columns of documents. Between stages rows are written as Parquet and
-read again.
+stage before kept; all but the last return the columns of documents, clashing names included. Between stages rows are
+written as Parquet and read again. Every stage reads whole texts of any length, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,27 +17,30 @@ NEAR = ngram_join.JoinParams(words=5, percent=80)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current rule policy keeps."""
+    """Documents that the current rule policy keeps; null and empty texts have no words and go, repeated rows share a verdict."""
     return rule_ledger.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group that links join."""
+    """One row of every group that links join: the smallest doc_id, then the smallest hash of the text; none counts as largest.
+
+    Repeated rows are one; rows without words link with nothing and stay.
+    """
     return ngram_join.one_of_each(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage; null and empty texts have none and stay, as do repeated rows."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
+    """All documents, secrets in their texts replaced by a mark; null texts stay null, repeated rows repeat."""
     return secret_forest.redacted(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
+    """Piece ids of every document; null and empty texts have none, repeated rows repeat."""
     return piece_codec.encoded(docs)
 
 
