@@ -30,6 +30,8 @@ from .common import WordHasher, chunks, components, mix, plain_words, release, t
 # Text per hash range, and tokens a task holds before it passes them on.
 RANGE_CHARS, HELD_TOKENS = 16_000_000, 800_000
 HEAVY_SHARE, HEAVY_LEAST = 500, 16
+# Bits for every row that bitmaps mark, bits at most (16 MB), and bits of one bitmap of bitmap_construct_agg.
+MARK_BITS, MARK_MOST, MARK_EACH = 32, 1 << 27, 1 << 15
 TABLE = pa.schema([("part", pa.int32()), ("fp1", pa.binary()), ("fp2", pa.binary()), ("n", pa.binary()), ("at", pa.binary()),
                    ("low", pa.binary()), ("high", pa.binary()), ("freq", pa.binary())])
 
@@ -372,6 +374,20 @@ def join_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     )
 
 
+def marked(docs: DataFrame, code: Column, keys: DataFrame, key_code: Column) -> DataFrame:
+    """docs with `_marked`: true wherever a row of keys has the same code, and on few other rows.
+
+    Bitmaps of the codes are broadcast, so that docs stay where they are. Their size is bounded: with more than
+    MARK_MOST / MARK_BITS rows of keys, more of the other rows are marked, never fewer of the right ones.
+    """
+    bits = min(MARK_MOST, max(MARK_EACH, MARK_BITS * keys.count()))
+    run, at = (lambda c: F.floor(F.pmod(c, F.lit(bits)) / MARK_EACH)), (lambda c: F.pmod(c, F.lit(bits)) % MARK_EACH)
+    maps = keys.groupBy(run(key_code).alias("_run")).agg(F.bitmap_construct_agg(at(key_code)).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at(code) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = docs.join(F.broadcast(maps), run(code) == F.col("_run"), "left")
+    return known.withColumn("_marked", F.coalesce(F.getbit(byte, (at(code) % 8).cast("int")) == 1, F.lit(False))).drop("_run", "_bits")
+
+
 def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """One row of docs for every component, and all rows without words.
 
@@ -387,9 +403,12 @@ def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame
     decided = alike.join(keys, ["fp1", "fp2"]).withColumn("stays", place == F.col("c")).filter(~F.col("stays") | (F.col("times") > 1))
     decided = durable(decided.select(F.col("doc_id").alias("_of_id"), F.col("code").alias("_of_text"), F.col("stays").alias("_stays")))
     names = docs.columns
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_of_id")) & (text_hash == F.col("_of_text"))
-    once = docs.join(decided, same, "left_anti")
+    either = marked(docs, F.xxhash64(F.col("doc_id").cast("long"), text_hash), decided, F.xxhash64("_of_id", "_of_text"))
+    # Rows without a mark stay unseen by any join: their texts do not move.
+    some = either.filter("_marked").drop("_marked")
+    same = some["doc_id"].cast("long").eqNullSafe(F.col("_of_id")) & (text_hash == F.col("_of_text"))
+    once = either.filter(~F.col("_marked")).drop("_marked").union(some.join(decided, same, "left_anti"))
     if not decided.filter("_stays").limit(1).count():
         return once
-    repeated = docs.join(decided.filter("_stays"), same).groupBy("_of_id", "_of_text").agg(F.min(F.struct(*names)).alias("_row"))
+    repeated = some.join(decided.filter("_stays"), same).groupBy("_of_id", "_of_text").agg(F.min(F.struct(*names)).alias("_row"))
     return once.unionByName(repeated.select("_row.*"))

@@ -274,3 +274,50 @@ def test_one_row_of_each_component_stays(spark):
     want += [repr(min(rows, key=least)) for rows in groups.values()]
     assert got == sorted(want)
     assert len(groups) == 7
+
+
+def moved_texts(df) -> int:
+    """Rows with a text that exchanges carried when df was collected."""
+    def walk(plan) -> int:
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" and "text#" in plan.output().toString() else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_texts_without_copies_do_not_move(spark):
+    """Where nothing is small enough for Spark to broadcast, only rows that may go are joined to the decisions."""
+    data = [(i if i % 7 else None, " ".join(f"w{i}x{j}" for j in range(30)), "en", None, i) for i in range(400)]
+    data += [(1000 + i, data[i][1] + " end", "en", None, i) for i in range(20)] + [data[5], data[7]]
+    docs = frame(spark, data)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ngram_join.one_of_each(docs, ngram_join.JoinParams(words=5, percent=80))
+        assert moved_texts(out) <= 100
+        got = sorted(map(repr, map(tuple, out.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    gone = {0, 7, 14}  # rows without an id go before their copies with one
+    stay = [row for i, row in enumerate(data[:400]) if i not in gone] + [row for row in data[400:420] if row[4] in gone]
+    assert got == sorted(map(repr, stay))
+
+
+@pytest.mark.parametrize("most", [1 << 27, 64])
+def test_marks_miss_no_row(spark, monkeypatch, most):
+    """Full bitmaps mark more rows, never fewer."""
+    monkeypatch.setattr(ngram_join, "MARK_MOST", most)
+    docs = spark.range(-3000, 3000).withColumn("code", F.xxhash64("id"))
+    keys = docs.filter("id % 10 = 0").select(F.col("code").alias("key"))
+    out = ngram_join.marked(docs, F.col("code"), keys, F.col("key"))
+    assert out.columns == ["id", "code", "_marked"] and out.count() == 6000
+    assert out.filter("id % 10 = 0 and not _marked").count() == 0
+    others = out.filter("id % 10 != 0 and _marked").count()
+    assert others > 5000 if most == 64 else others <= 400
+    assert ngram_join.marked(docs, F.col("code"), keys.limit(0), F.col("key")).filter("_marked").count() == 0
